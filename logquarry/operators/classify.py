@@ -13,10 +13,11 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logquarry.functions.arrays import unfold
+from logquarry.functions.patterns import find_all
 from logquarry.operators.grouping import has_mark, needs_placing, place, with_marks
 from logquarry.operators.ordered import BLOCK_BITS, along
 from logquarry.operators.rules import HIT_TYPE, hits, is_hit, message, pick, rules_in_order
-from logquarry.functions.patterns import find_all
 from logquarry.schema import SEVERITY_RANK
 from logquarry.spec import RuleSet
 from logquarry.staging import stage
@@ -68,13 +69,12 @@ def with_excerpts(matched: DataFrame, lines: DataFrame, prefix: int = 0, suffix:
         lacking = F.when(lacking == 0, prefix).otherwise(lacking)
     borrowed = F.least(lacking, F.col("chunk_start") - 1)
     final = F.least(at + suffix, F.coalesce(F.col("stop") - 1, at + suffix))
-    wanted = matched.select(
-        "file_path", "line_no", (borrowed + at - first).cast("int").alias("match_slot"),
-        F.posexplode(F.concat(
-            F.when(borrowed > 0, F.sequence(F.col("chunk_start") - borrowed, F.col("chunk_start") - 1))
-            .otherwise(F.array().cast("array<bigint>")),
-            F.sequence(first, final),
-        )).alias("slot", "wanted_no"))
+    positions = F.concat(
+        F.when(borrowed > 0, F.sequence(F.col("chunk_start") - borrowed, F.col("chunk_start") - 1))
+        .otherwise(F.array().cast("array<bigint>")),
+        F.sequence(first, final))
+    wanted = unfold(matched, ["file_path", "line_no", (borrowed + at - first).cast("int").alias("match_slot")],
+                    positions, "wanted_no", "slot")
     source = lines.select("file_path", F.col("line_no").alias("wanted_no"), F.col("line").alias("context_line"))
     context = (
         wanted.join(source, ["file_path", "wanted_no"])
@@ -96,9 +96,9 @@ def cap(excerpt: Column, match_slot: Column, limit: int) -> Column:
 
 def to_findings(matched: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
     """One row per match, errors before warnings, then rule, then match; `finding_index` counts them per file."""
-    per_rule = matched.select(
-        *IDS, "chunk_no", "line_no", "line_start", "excerpt", "first_index", F.explode("hits").alias("hit"))
-    per_match = per_rule.select("*", F.posexplode("hit.texts").alias("match_idx", "match_text"))
+    per_rule = unfold(
+        matched, [*IDS, "chunk_no", "line_no", "line_start", "excerpt", "first_index"], "hits", "hit")
+    per_match = unfold(per_rule, ["*"], "hit.texts", "match_text", "match_idx")
     return per_match.select(
         F.col("module").alias("module_name"),
         F.col("pipeline").alias("pipeline_name"),
@@ -166,9 +166,9 @@ def find_in_texts(texts: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, s
     start_line = F.col("start_line") if "start_line" in have else F.lit(1)
     first_index = F.col("first_index") if "first_index" in have else F.lit(0)
     found = pick(rule_sets, lambda r: text_hits(r, F.col("body"), carried, prefix, suffix, limit, compat_prefix))
-    rows = texts.select(
-        *IDS, start_line.cast("long").alias("start_line"), first_index.cast("long").alias("first_index"),
-        F.posexplode(found).alias("nth", "hit"))
+    rows = unfold(
+        texts, [*IDS, start_line.cast("long").alias("start_line"), first_index.cast("long").alias("first_index")],
+        found, "hit", "nth")
     line_no = F.col("start_line") + F.col("hit.at")
     return rows.select(
         F.col("module").alias("module_name"),
@@ -203,7 +203,7 @@ def custom_chunk_findings(texts: DataFrame, fn: Callable[[str, list[str]], list[
     def run(pipeline: pd.Series, body: pd.Series) -> pd.Series:
         return pd.Series([[tuple(hit) for hit in fn(p, list(b))] for p, b in zip(pipeline, body)])
 
-    rows = texts.select(*IDS, "body", F.posexplode(run("pipeline", "body")).alias("finding_index", "hit"))
+    rows = unfold(texts, [*IDS, "body"], run("pipeline", "body"), "hit", "finding_index")
     return rows.select(
         F.col("module").alias("module_name"), F.col("pipeline").alias("pipeline_name"), "file_path",
         F.col("finding_index").cast("long").alias("finding_index"), F.col("hit.severity").alias("severity"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logquarry.functions.arrays import unfold
 from logquarry.functions.text import is_blank, strip_left, strip_right
 from logquarry.operators.ordered import BLOCK_BITS, islands
 
@@ -61,7 +62,7 @@ def alternate(messages: DataFrame, conversation: str = "conv_id", turn: str = "t
         .when(one["role"] == "assistant", F.array(message(one["first_turn"], "user", one["content"])))
         .otherwise(F.array(one, two))
     )
-    opened = head.select(conversation, F.explode(F.array_compact(opening)).alias("m")).select(conversation, "m.*")
+    opened = unfold(head, [conversation], F.array_compact(opening), "m").select(conversation, "m.*")
     rest = merged.where("island > 2").select(conversation, "first_turn", "role", "content")
     return opened.unionByName(rest)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import java
 from logquarry.functions.text import base_name, is_blank, split_lines, strip, suffix, word_count, words
 
@@ -57,7 +58,7 @@ def sections(docs: DataFrame) -> DataFrame:
         .alias("heading"),
         strip(F.array_join(F.slice(
             "body", at + 1, F.coalesce(F.get("starts", k + 1), F.size("body")) - at), "\n")).alias("content")))
-    rows = marked.select(*IDS, F.explode(cut).alias("s")).select(*IDS, "s.*")
+    rows = unfold(marked, IDS, cut, "s").select(*IDS, "s.*")
     return rows.where(F.length("content") > 0)
 
 
@@ -88,21 +89,24 @@ def packed(sizes: pd.Series) -> pd.Series:
     return sizes.map(ranges)
 
 
-def paragraphs(text: Column) -> Column:
-    """Runs of non-blank lines, stripped."""
-    body = split_lines(text)
-    blank = F.transform(body, is_blank)
-    at = positions(body)
-    opens = F.filter(at, lambda i: ~F.get(blank, i) & F.coalesce(F.get(blank, i - 1), F.lit(True)))
-    ends = F.filter(at, lambda i: ~F.get(blank, i) & F.coalesce(F.get(blank, i + 1), F.lit(True)))
-    return F.zip_with(opens, ends, lambda a, b: strip(F.array_join(F.slice(body, a + 1, b - a + 1), "\n")))
+def with_paragraphs(docs: DataFrame) -> DataFrame:
+    """Add `parts`: runs of non-blank lines, stripped. Each step is a column, so no array is computed per element."""
+    body = docs.withColumn("body", split_lines(F.col("content")))
+    blank = body.withColumn("blank", F.transform("body", is_blank))
+    edges = blank.withColumns({
+        "opens": F.filter(positions(F.col("blank")), lambda i: ~F.get("blank", i) & F.coalesce(
+            F.get("blank", i - 1), F.lit(True))),
+        "ends": F.filter(positions(F.col("blank")), lambda i: ~F.get("blank", i) & F.coalesce(
+            F.get("blank", i + 1), F.lit(True)))})
+    return edges.withColumn("parts", F.zip_with("opens", "ends", lambda a, b: strip(
+        F.array_join(F.slice("body", a + 1, b - a + 1), "\n"))))
 
 
 def packed_paragraphs(docs: DataFrame) -> DataFrame:
     """Plain texts packed to about 400 words per chunk; short trailing paragraphs open the next chunk again."""
-    parts = docs.select(*IDS, paragraphs(F.col("content")).alias("parts"))
+    parts = with_paragraphs(docs).select(*IDS, "parts")
     sized = parts.withColumn("ranges", packed(F.transform("parts", word_count)))
-    return sized.select(*IDS, "parts", F.posexplode("ranges").alias("section", "r")).select(
+    return unfold(sized, [*IDS, "parts"], "ranges", "r", "section").select(
         *IDS, "section", F.lit(PLAIN_HEADING).alias("heading"),
         F.array_join(F.slice("parts", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), "\n\n")
         .alias("content"))
@@ -118,11 +122,11 @@ def word_windows(chunks: DataFrame) -> DataFrame:
         lambda i: F.struct(
             (i + 1).alias("part"), F.array_join(F.slice("words", i * step + 1, TARGET_WORDS), " ").alias("content")))
     whole = F.array(F.struct(F.lit(None).cast("int").alias("part"), F.col("content").alias("content")))
-    cut = counted.select(
-        *[c for c in chunks.columns if c not in ("content", "heading")], F.col("heading").alias("base"),
-        F.explode(F.when(n > LARGEST_CHUNK, pieces).otherwise(whole)).alias("p"))
+    rest = [c for c in chunks.columns if c not in ("content", "heading")]
+    cut = unfold(counted, [*rest, F.col("heading").alias("base")],
+                 F.when(n > LARGEST_CHUNK, pieces).otherwise(whole), "p")
     return cut.select(
-        *[c for c in chunks.columns if c not in ("content", "heading")],
+        *rest,
         F.when(F.col("p.part") > 1, F.concat("base", F.lit(" (part "), F.col("p.part").cast("string"), F.lit(")")))
         .otherwise(F.col("base")).alias("heading"),
         F.col("p.content").alias("content"), F.col("p.part").alias("part"))

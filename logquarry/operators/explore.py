@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import java
 from logquarry.functions.text import clip, regex_template, strip, text_lines
 from logquarry.operators.stats import recent_findings
@@ -114,8 +115,8 @@ def error_lines(findings: DataFrame, limit: int = ERROR_LISTING_LINES, zone: str
                       local_time(F.col("created_at"), zone))
     body = F.when(F.length(text_lines(F.col("excerpt"))) > 0, F.col("excerpt")).otherwise(
         F.array().cast("array<string>"))
-    rows = recent_findings(findings, limit).select(
-        "module_name", "nth", F.posexplode(F.slice(F.concat(F.array(header), body), 1, limit)).alias("slot", "line"))
+    rows = unfold(recent_findings(findings, limit), ["module_name", "nth"],
+                  F.slice(F.concat(F.array(header), body), 1, limit), "line", "slot")
     order = Window.partitionBy("module_name").orderBy("nth", "slot")
     numbered = rows.select("module_name", F.row_number().over(order).cast("long").alias("line_no"), "line")
     return numbered.where(F.col("line_no") <= limit)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from logquarry.functions.arrays import unfold
 from logquarry.functions.text import split_lines
 from logquarry.schema import FINDINGS, LINES, conform
 from logquarry.staging import stage
@@ -60,7 +61,7 @@ def scan_text(spark: SparkSession, paths: list[str], module: str | None = None)
 def explode_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Numbered lines of a table with one whole text per row (file_path, module, pipeline, mtime, text)."""
     keep = ["file_path", "module", "pipeline", "mtime"]
-    return texts.select(*keep, F.posexplode(split_lines(F.col(text))).alias("pos", "line")).select(
+    return unfold(texts, keep, split_lines(F.col(text)), "line", "pos").select(
         *keep, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
