@@ -68,26 +68,25 @@ def numbering(prefix: int):
     Only counts and the last few lines of a segment are looked at; its text passes through.
     """
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(batches), ignore_index=True).sort_values(["generation", "segment"], kind="stable")
+        rows = [row for batch in batches for row in batch.itertuples(index=False)]
+        rows.sort(key=lambda row: (row.generation, row.segment))
         if state.exists:
             generation, next_line, next_index, carried = state.get
         else:
-            generation, next_line, next_index, carried = -1, 1, int(batch.seed.iloc[0]), []
-        carried = list(carried)
-        starts, firsts, before = [], [], []
-        for row in batch.itertuples():
+            generation, next_line, next_index, carried = -1, 1, int(rows[0].seed), []
+        carried, out = list(carried), []
+        for row in rows:
             if row.generation != generation:
                 generation, next_line = row.generation, 1
-            starts.append(next_line)
-            firsts.append(next_index)
-            before.append(list(carried))
+            out.append((row.module, row.file_path, row.pipeline, row.generation, row.segment, row.arrived, next_line,
+                        next_index, carried, row.text, row.fresh))
             next_line += row.n_lines
             if row.fresh:
                 next_index += row.n_hits
                 if prefix > 0:
                     carried = (carried + list(row.final_lines))[-prefix:]
         state.update((int(generation), int(next_line), int(next_index), carried))
-        yield batch.assign(start_line=starts, first_index=firsts, carried=before, mtime=batch.arrived)[OUT_COLUMNS]
+        yield pd.DataFrame(out, columns=OUT_COLUMNS)
 
     return run
 
