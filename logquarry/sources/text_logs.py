@@ -88,7 +88,7 @@ def missing_path_notifications(spark: SparkSession, missing: list[str]) -> DataF
 
 
 def listed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every file below the paths with its size; contents are not read."""
+    """Every non-empty file below the paths with its size; contents are not read."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
         .select(F.col("path").alias("file_path"), F.col("length"),
