@@ -77,8 +77,14 @@ def _literals(body: str) -> str:
 
 
 def any_match(text: Column, patterns, ignore_case: bool = False) -> Column:
-    """True where at least one pattern is found; false for an empty list."""
-    tests = [text.rlike(java(p, ignore_case)) for p in patterns]
+    """True where at least one pattern is found; false for an empty list.
+
+    Patterns without groups that another pattern could disturb are searched as one alternation, in a single pass.
+    """
+    alone = [p for p in patterns if re.search(r"\(\?P|\\[1-9]|\(\?[a-zA-Z]*x", p)]
+    joint = [java(p, ignore_case) for p in patterns if p not in alone]
+    tests = [text.rlike("|".join(f"(?:{p})" for p in joint) if len(joint) > 1 else joint[0])] if joint else []
+    tests += [text.rlike(java(p, ignore_case)) for p in alone]
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 

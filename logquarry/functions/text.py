@@ -8,10 +8,14 @@ WORD = r"(?U)[^\s\x1C-\x1F]+"
 
 
 def split_lines(text: Column) -> Column:
-    """Lines of a text: CR, LF and CRLF end a line, and a final line end opens no further line."""
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(text, r"(?:\r\n|[\r\n])\z", ""), r"\r\n|[\r\n]")
-    )
+    """Lines of a text: CR, LF and CRLF end a line, and a final line end opens no further line.
+
+    Only texts that hold a CR go through a regular expression.
+    """
+    plain = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    parts = F.split(plain, "\n")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.when(F.endswith(plain, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def words(text: Column) -> Column:

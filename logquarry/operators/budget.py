@@ -44,8 +44,9 @@ def rolling_usage(log: DataFrame, windows: dict[str, int], key: str = "provider"
         Window.unboundedPreceding, Window.currentRow)
     placed = points.withColumn("minute", minute)
     totals = placed.groupBy(key, "minute").agg(F.sum("adds").alias("of_minute"))
-    carried = along(totals, [key], "minute", sums={"through": F.col("of_minute")}, bits=12)
-    carried = carried.select(key, "minute", (F.col("through") - F.col("of_minute")).alias("before"))
+    # At most one row per minute of a provider, so this window is bounded by the length of the log in time.
+    earlier = Window.partitionBy(key).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "minute", F.coalesce(F.sum("of_minute").over(earlier), F.lit(0)).alias("before"))
     known = placed.withColumn("local", F.sum("adds").over(inside)).join(carried, [key, "minute"])
     level = F.col("local") + F.col("before")
     per_row = known.groupBy(key, F.col("row_at").alias(at)).agg(

@@ -41,7 +41,7 @@ def matched_lines(lines: DataFrame, rule_sets: list[RuleSet], *, staged: bool =
         if staged:
             rows = stage(rows, "placed")
     else:
-        rows = lines.where(hit).withColumn("hits", found)
+        rows = lines.where(hit).withColumn("hits", pick(rule_sets, lambda r: hits(line, r)))
         if staged:
             rows = stage(rows, "notes")
         rows = rows.withColumns({
