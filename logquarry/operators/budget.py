@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logquarry.operators.ordered import along, islands
 from logquarry.staging import stage
@@ -17,6 +18,8 @@ FINE = 60_000_000
 # Instants in microseconds are cut into blocks of 2^32, a little over an hour.
 TIME_BITS = 32
 
+DECISION = "provider string, request_id long, at_us long, estimated long, used long, admitted boolean"
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -90,36 +93,62 @@ def admit(requests: DataFrame, hourly: dict[str, int], daily: dict[str, int]) ->
         .repartition("provider", "stretch")
         .sortWithinPartitions("provider", "stretch", "at_us", "request_id")
         .select("provider", "stretch", "request_id", "at_us", "estimated", "used")
-        .mapInPandas(in_order(hourly, daily), "provider string, request_id long, at_us long, estimated long, "
-                                              "used long, admitted boolean")
+        .mapInPandas(in_order(hourly, daily), DECISION)
     )
     free = rows.where(~F.col("contested")).select(
         "provider", "request_id", "at_us", "estimated", "used", F.lit(True).alias("admitted"))
     return free.unionByName(decided)
 
 
+def admit_stream(requests: DataFrame, hourly: dict[str, int], daily: dict[str, int]) -> DataFrame:
+    """The same decision on a stream, in arrival order; the state of a provider is what it recorded in the last day."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        provider = key[0]
+        recorded = list(zip(*state.get)) if state.exists else []
+        batch = pd.concat(list(batches), ignore_index=True).sort_values(["at_us", "request_id"], kind="stable")
+        ledger, verdicts = Ledger(recorded), []
+        for at, estimated, used in zip(batch.at_us, batch.estimated, batch.used):
+            verdicts.append(ledger.offer(at, estimated, used, hourly.get(provider), daily.get(provider)))
+        state.update(([int(at) for at, _ in ledger.day], [int(spent) for _, spent in ledger.day]))
+        yield batch.assign(admitted=verdicts)[["provider", "request_id", "at_us", "estimated", "used", "admitted"]]
+
+    return requests.groupBy("provider").applyInPandasWithState(
+        run, DECISION, "at array<long>, spent array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+class Ledger:
+    """Tokens recorded in the last hour and day."""
+
+    def __init__(self, recorded=()):
+        self.day, self.hour = deque(recorded), deque(recorded)
+        self.day_sum = self.hour_sum = sum(spent for _, spent in recorded)
+
+    def offer(self, at: int, estimated: int, used: int, hourly: int | None, daily: int | None) -> bool:
+        while self.day and self.day[0][0] < at - DAY:
+            self.day_sum -= self.day.popleft()[1]
+        while self.hour and self.hour[0][0] < at - HOUR:
+            self.hour_sum -= self.hour.popleft()[1]
+        if hourly is not None and self.hour_sum + estimated > hourly or (
+                daily is not None and self.day_sum + estimated > daily):
+            return False
+        spent = used if used > 0 else estimated
+        self.day.append((at, spent))
+        self.hour.append((at, spent))
+        self.day_sum, self.hour_sum = self.day_sum + spent, self.hour_sum + spent
+        return True
+
+
 def in_order(hourly: dict[str, int], daily: dict[str, int]):
-    """Decide sorted requests one after another; the state is what was recorded in the last day."""
+    """Decide sorted requests one after another, starting afresh with each stretch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, day, hour, day_sum, hour_sum = None, deque(), deque(), 0, 0
+        current, ledger = None, Ledger()
         for batch in batches:
             verdicts = []
             for provider, stretch, at, estimated, used in zip(
                     batch.provider, batch.stretch, batch.at_us, batch.estimated, batch.used):
                 if (provider, stretch) != current:
-                    current, day, hour, day_sum, hour_sum = (provider, stretch), deque(), deque(), 0, 0
-                while day and day[0][0] < at - DAY:
-                    day_sum -= day.popleft()[1]
-                while hour and hour[0][0] < at - HOUR:
-                    hour_sum -= hour.popleft()[1]
-                ok = (provider not in hourly or hour_sum + estimated <= hourly[provider]) and (
-                    provider not in daily or day_sum + estimated <= daily[provider])
-                if ok:
-                    spent = used if used > 0 else estimated
-                    day.append((at, spent))
-                    hour.append((at, spent))
-                    day_sum, hour_sum = day_sum + spent, hour_sum + spent
-                verdicts.append(ok)
+                    current, ledger = (provider, stretch), Ledger()
+                verdicts.append(ledger.offer(at, estimated, used, hourly.get(provider), daily.get(provider)))
             yield batch.assign(admitted=verdicts)[
                 ["provider", "request_id", "at_us", "estimated", "used", "admitted"]]
 

@@ -27,7 +27,7 @@ IDS = ["file_path", "module", "pipeline", "mtime"]
 
 def matched_lines(lines: DataFrame, rule_sets: list[RuleSet], *, staged: bool = True,
                   bits: int = BLOCK_BITS) -> DataFrame:
-    """One row per kept line with at least one hit: its place in its chunk, its hits, and the index of the first."""
+    """One row per kept line with at least one hit: its place in its chunk and its hits."""
     line = F.col("line")
     hit = pick(rule_sets, lambda r: is_hit(line, r))
     found = F.when(hit, pick(rule_sets, lambda r: hits(line, r))).otherwise(F.array().cast(f"array<{HIT_TYPE}>"))
@@ -47,21 +47,26 @@ def matched_lines(lines: DataFrame, rule_sets: list[RuleSet], *, staged: bool =
         rows = rows.withColumns({
             "chunk_no": F.lit(0).cast("long"), "chunk_start": F.lit(1).cast("long"),
             "segment_start": F.lit(1).cast("long"), "stop": F.lit(None).cast("long"), "line_start": F.col("line_no")})
+    return rows
+
+
+def with_first_index(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Add the index of a line's first finding: the number of findings before it in its file."""
     n_hits = F.element_at("hits", -1)["skipped"] + F.size(F.element_at("hits", -1)["texts"])
     counted = along(rows, ["file_path"], "line_no", sums={"hits_so_far": n_hits}, bits=bits)
     return counted.withColumn("first_index", (F.col("hits_so_far") - n_hits).cast("long")).drop("hits_so_far")
 
 
-def with_excerpts(matched: DataFrame, lines: DataFrame, prefix: int = 0, suffix: int = 0, limit: int = 20,
+def with_excerpts(rows: DataFrame, matched: DataFrame, lines: DataFrame, prefix: int = 0, suffix: int = 0, limit: int = 20,
                   compat_prefix: bool = False) -> DataFrame:
-    """Add the excerpt: lines before, the match, lines after, cut to `limit` lines around the match.
+    """Add to `rows` the excerpt: lines before, the match, lines after, cut to `limit` lines around the match.
 
-    The wanted positions are joined to the lines on (file, line number), so the work follows the number of matches.
+    `matched` are the same lines with their places. The wanted positions are joined to the lines on (file, line number), so the work follows the number of matches.
     Lines before the match that its chunk lacks are taken from in front of the chunk. `compat_prefix` repeats those
     lines also where nothing is lacking.
     """
     if prefix <= 0 and suffix <= 0:
-        return matched.withColumn("excerpt", F.array("line"))
+        return rows.withColumn("excerpt", F.array("line"))
     at = F.col("line_no")
     first = F.greatest(F.col("segment_start"), at - prefix)
     lacking = F.greatest(F.lit(0), prefix - (at - first))
@@ -83,7 +88,7 @@ def with_excerpts(matched: DataFrame, lines: DataFrame, prefix: int = 0, suffix:
              F.array_sort(F.collect_list(F.struct("slot", "context_line"))).alias("found"))
         .select("file_path", "line_no", cap(F.col("found.context_line"), F.col("match_slot"), limit).alias("excerpt"))
     )
-    return matched.join(context, ["file_path", "line_no"])
+    return rows.join(context, ["file_path", "line_no"])
 
 
 def cap(excerpt: Column, match_slot: Column, limit: int) -> Column:
@@ -124,7 +129,8 @@ def find_in_lines(lines: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, s
                   compat_prefix: bool = False, staged: bool = True, bits: int = BLOCK_BITS) -> DataFrame:
     """Findings of numbered lines (file_path, module, pipeline, mtime, line_no, line)."""
     matched = matched_lines(lines, rule_sets, staged=staged, bits=bits)
-    return to_findings(with_excerpts(matched, lines, prefix, suffix, limit, compat_prefix), rule_sets)
+    quoted = with_excerpts(with_first_index(matched, bits), matched, lines, prefix, suffix, limit, compat_prefix)
+    return to_findings(quoted, rule_sets)
 
 
 def text_hits(rules: RuleSet, body: Column, carried: Column, prefix: int, suffix: int, limit: int,

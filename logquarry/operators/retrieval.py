@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logquarry.functions.patterns import find_all
+from logquarry.staging import broadcast_if_small, stage
 
 # What is taken from an excerpt into the query text, in this order.
 EXCEPTION_PATTERNS = (
@@ -63,15 +62,16 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None =
     compared, and a query may appear in several buckets. Scoring is exact. Both sides are cut into tiles, tile against
     tile is one bounded unit of work that gives back k rows per query, and the units of a query are merged by rank.
     """
-    def sized(df: DataFrame, key: str, tile: int, name: str) -> DataFrame:
+    def sized(df: DataFrame, tile: int, name: str) -> DataFrame:
         counted = df.groupBy("bucket").agg(F.count("*").alias("n"))
         return counted.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias(name))
 
     mark = F.col(bucket).cast("string") if bucket else F.lit("")
     q = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
     c = chunks.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
-    tiles = sized(q, "query_id", query_tile, "query_tiles").join(sized(c, "chunk_id", chunk_tile, "chunk_tiles"),
-                                                                 "bucket")
+    # One row per bucket; vectors meet it where they are, without a shuffle by bucket.
+    tiles = broadcast_if_small(stage(
+        sized(q, query_tile, "query_tiles").join(sized(c, chunk_tile, "chunk_tiles"), "bucket"), "tiles"))
 
     def spread(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         return df.join(tiles, "bucket").select(
@@ -118,7 +118,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, module_repos: DataFrame | No
     """Ranked chunks per query: the best `max_chunks`, those similar enough, one per content, the first `top_k`.
 
     queries (query_id, module, vector); chunks (chunk_id, repo_id, vector, heading, content, file_path).
-    similarity  `cosine`, or `reference` for 1 / (1 + score), which prefers low scores
+    similarity  `cosine`, or `inverse` for 1 / (1 + score), which prefers low scores
     prefilter   compare with the module's repositories only; otherwise take the best 2 * max_chunks of all first
     """
     if module_repos is None:
@@ -132,7 +132,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, module_repos: DataFrame | No
         order = Window.partitionBy("query_id").orderBy("rank")
         hits = (owned.join(allowed, ["query_id", "repo_id"], "left_semi").drop("repo_id")
                 .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_chunks))
-    shown = F.when(F.col("score") != -1, 1 / (1 + F.col("score"))) if similarity == "reference" else F.col("score")
+    shown = F.when(F.col("score") != -1, 1 / (1 + F.col("score"))) if similarity == "inverse" else F.col("score")
     good = hits.withColumn("similarity", shown).where(F.col("similarity") >= threshold)
     texts = good.join(chunks.select("chunk_id", "repo_id", "heading", "content", "file_path"), "chunk_id")
     same = Window.partitionBy("query_id", "content").orderBy("rank")

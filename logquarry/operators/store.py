@@ -38,13 +38,16 @@ def read(spark: SparkSession, path: str, modules: list[str] | None = None) -> Da
     return stored.where(F.col("module_name").isin(modules)) if modules else stored
 
 
-def append(batch: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Add the unseen findings of a batch to the table at `path`, partitioned by module."""
+def append(batch: DataFrame, path: str, order: list[str] | None = None, modules: list[str] | None = None) -> None:
+    """Add the unseen findings of a batch to the table at `path`, partitioned by module.
+
+    Naming the modules of the batch keeps the comparison to their partitions.
+    """
     spark = batch.sparkSession
     rows = conform(batch, FINDINGS)
     if exists(spark, path):
         stored = spark.read.schema(FINDINGS).parquet(path)
-        fresh, base = unseen(rows, stored, order), stored.agg(F.max("id")).first()[0]
+        fresh, base = unseen(rows, read(spark, path, modules), order), stored.agg(F.max("id")).first()[0]
     else:
         fresh, base = first_of_each(rows, order or ["finding_index"]), None
     start = 0 if base is None else base + 1

@@ -172,7 +172,7 @@ def retrieve_threshold(spark, folder):
 SELECT query_id, chunk_id, place AS rank, content FROM final WHERE place <= 5""")
 def retrieve_inverse_similarity(spark, folder):
     hits = retrieval.retrieve(vector_queries(spark, folder), vector_chunks(spark, folder), module_repos(spark, folder),
-                              similarity="reference", prefilter=False)
+                              similarity="inverse", prefilter=False)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "content")
 
 

@@ -33,13 +33,13 @@ gated AS (SELECT *, severity = 'ERROR' AND len(excerpt) BETWEEN 1 AND 3 AS needs
 quoted AS (SELECT *, CASE WHEN len(bad) = 0 THEN excerpt ELSE bad END AS q FROM gated)"""
 
 
-@query("llm_gate_payload", PAYLOAD_SQL + """
+@query("gate_payload", PAYLOAD_SQL + """
 SELECT file_path, finding_index, needs_llm,
  concat(pipeline_name, '_', severity, '_finding', finding_index, '.txt') AS payload_name,
  CASE WHEN needs_llm THEN concat('[', severity, '] ', message, ' in ', file_path, ' (', pipeline_name, '), ', len(q),
    ' lines', chr(10), chr(10), '----- BEGIN LOG CHUNK -----', chr(10), array_to_string(q, chr(10)), chr(10),
    '----- END LOG CHUNK -----', chr(10)) END AS payload FROM quoted""")
-def llm_gate_payload(spark, folder):
+def gate_payload(spark, folder):
     return payloads.with_payload(gated(spark, folder), GATE).select(
         "file_path", "finding_index", "needs_llm", "payload_name", "payload")
 
@@ -118,7 +118,7 @@ def provider_routing(spark, folder):
     return routed.select("name", "provider", F.col("max_tokens").cast("long").alias("max_tokens"))
 
 
-@query("chat_request", PROVIDERS_SQL + f""" SELECT name, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 2 END AS n_messages,
+@query("chat_request", PROVIDERS_SQL + f""" SELECT name, CAST(CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_messages,
   CASE WHEN r_regionkey % 2 = 0 THEN 'user' ELSE 'system' END AS first_role,
   CASE WHEN r_regionkey % 2 = 0 THEN concat('{payloads.SYSTEM_MESSAGE}', chr(10), chr(10), 'check ', name)
        ELSE concat('check ', name) END AS final_content, CAST(floor((length('{payloads.SYSTEM_MESSAGE}')

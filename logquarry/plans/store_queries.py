@@ -136,13 +136,13 @@ def manual_finding(spark, folder):
                        "line_start", "line_end", F.size("excerpt").cast("long").alias("n_lines"))
 
 
-@query("llm_merge", f"""WITH {FOUND}, res AS (SELECT doc_id AS rid, quality, toxic FROM labels)
+@query("model_results_merge", f"""WITH {FOUND}, res AS (SELECT doc_id AS rid, quality, toxic FROM labels)
 SELECT id, CASE WHEN rid IS NOT NULL THEN 'local' END AS llm_provider,
  CASE WHEN rid IS NOT NULL AND toxic = 0 THEN concat('answer ', quality) END AS llm_response_content,
  CASE WHEN toxic = 1 THEN 'timeout' END AS llm_error,
  CASE WHEN rid IS NOT NULL AND toxic = 0 THEN CAST(rid * 2 AS BIGINT) END AS llm_prompt_tokens
 FROM stored LEFT JOIN res ON rid = id""")
-def llm_merge(spark, folder):
+def model_results_merge(spark, folder):
     results = table(spark, folder, "labels").select(
         F.col("doc_id").alias("id"), F.lit("local").alias("provider"), F.lit("tiny").alias("model"),
         F.concat(F.lit("answer "), "quality").alias("content"), F.when(F.col("toxic") == 1, "timeout").alias("error"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +31,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Rows of a staged table that may be sent to every executor, for rows of at most a few hundred bytes.
+ROWS_TO_BROADCAST = 500_000
+
+
+def broadcast_if_small(staged: DataFrame, limit: int = ROWS_TO_BROADCAST) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast when its row count is within the limit; else unchanged."""
+    return F.broadcast(staged) if staged.count() <= limit else staged
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and return the table read back."""
     spark = df.sparkSession

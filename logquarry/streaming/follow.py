@@ -153,7 +153,7 @@ def deliver(module: Module, store_path: str, payload_path: str | None = None, al
     def run(findings: DataFrame, batch_id: int) -> None:
         gated = findings.withColumn(
             "needs_llm", needs_model(module.gate, F.col("severity_rank"), F.col("excerpt")))
-        append(conform(gated, FINDINGS), store_path)
+        append(conform(gated, FINDINGS), store_path, modules=[module.name])
         if payload_path:
             payloads = with_payload(gated.where("needs_llm"), module.gate)
             payloads.select("payload_name", "payload").write.mode("overwrite").parquet(

@@ -162,7 +162,7 @@ def test_retrieval_rules(spark):
     assert ids(top_k=1) == [0]
     assert ids(max_chunks=1) == [0]
     assert ids(prefilter=False, max_chunks=1) == [0]
-    assert ids(similarity="reference") == [4, 5]
+    assert ids(similarity="inverse") == [4, 5]
     hits = retrieval.retrieve(queries, chunks, repos)
     row = payloads.docs_context(hits, ["query_id"]).first()
     assert row.context == "\n\n--- Relevant Documentation ---\n\n1. h0\nsame\n\n2. h2\ntwo\n"

@@ -94,6 +94,21 @@ def test_admission(spark, seed, span_hours):
     assert 0 < sum(expected.values()) < len(rows)
 
 
+def test_admission_on_a_stream(spark, tmp_path):
+    from logquarry.streaming.follow import run_available
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), i, i * budget.HOUR // 3, rnd.randint(1, 100), rnd.choice([0, 50])) for i in range(200)]
+    hourly, daily = {"a": 120}, {"a": 900, "b": 700}
+    schema = "provider string, request_id long, at_us long, estimated long, used long"
+    for part in range(4):
+        spark.createDataFrame(rows[part * 50:part * 50 + 50], schema).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    decided = run_available(budget.admit_stream(stream, hourly, daily), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {r.request_id: r.admitted for r in decided.collect()} == sequential_admission(rows, hourly, daily)
+
+
 def test_rolling_usage(spark):
     rnd = random.Random(5)
     rows = [("p" if i % 3 else "q", rnd.randint(0, 5 * budget.DAY // 1000) * 1000, rnd.randint(1, 9)) for i in range(800)]
