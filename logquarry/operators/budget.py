@@ -15,8 +15,8 @@ from logquarry.staging import stage
 HOUR = 3_600_000_000
 DAY = 86_400_000_000
 FINE = 60_000_000
-# Instants in microseconds are cut into blocks of 2^32, a little over an hour.
-TIME_BITS = 32
+# Instants in microseconds are cut into blocks of 2^26, a little over a minute.
+TIME_BITS = 26
 
 DECISION = "provider string, request_id long, at_us long, estimated long, used long, admitted boolean"
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logquarry.functions.arrays import unfold
 from logquarry.functions.text import is_blank, strip_left, strip_right
 from logquarry.operators.ordered import BLOCK_BITS, islands
+from logquarry.staging import stage
 
 GAP = "\n\n"
 
@@ -35,6 +36,8 @@ def alternate(messages: DataFrame, conversation: str = "conv_id", turn: str = "t
         F.array_sort(F.collect_list(F.struct("first_turn", "text"))).alias("parts"))
     merged = merged.select(
         conversation, "island", "first_turn", "role", joined_texts(F.col("parts.text")).alias("content"))
+    # The head and the rest are read apart below; writing the merged messages once is cheaper than merging twice.
+    merged = stage(merged, "messages")
     system = kept.where("role = 'system'").groupBy(conversation).agg(
         F.array_sort(F.collect_list(F.struct("first_turn", "text"))).alias("parts"))
     system = system.select(conversation, F.array_join("parts.text", GAP).alias("system"))

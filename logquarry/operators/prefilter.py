@@ -1,0 +1,24 @@
+"""Narrowing a large table before a join whose other side is too large to broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+SLOT_BITS = 26
+
+
+def possibly_in(rows: DataFrame, keys: list[str], wanted: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """The rows whose keys may occur in `wanted`: all that do, and a few that only share a hash slot with one.
+
+    The slots in use are 64-bit words, at most 2 ** (bits - 6) of them whatever the data: about a million, 16 bytes each,
+    for the default. That bound is what allows the broadcast; the join that follows is exact.
+    """
+    def slot() -> Column:
+        return F.xxhash64(*keys).bitwiseAND(F.lit((1 << bits) - 1))
+
+    used = wanted.select(slot().alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word_no")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("__word"))
+    marked = rows.withColumn("__slot", slot())
+    kept = marked.withColumn("__word_no", F.shiftright("__slot", 6)).join(F.broadcast(used), "__word_no").where(
+        F.bit_get("__word", F.col("__slot").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return kept.select(*rows.columns)

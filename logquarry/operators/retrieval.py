@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
 from logquarry.staging import broadcast_if_small, stage
 
@@ -62,21 +63,28 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None =
     compared, and a query may appear in several buckets. Scoring is exact. Both sides are cut into tiles, tile against
     tile is one bounded unit of work that gives back k rows per query, and the units of a query are merged by rank.
     """
+    mark = F.col(bucket).cast("string") if bucket else F.lit("")
+    q = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
+    c = chunks.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
+
     def sized(df: DataFrame, tile: int, name: str) -> DataFrame:
         counted = df.groupBy("bucket").agg(F.count("*").alias("n"))
         return counted.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias(name))
 
-    mark = F.col(bucket).cast("string") if bucket else F.lit("")
-    q = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
-    c = chunks.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
-    # One row per bucket; vectors meet it where they are, without a shuffle by bucket.
-    tiles = broadcast_if_small(stage(
-        sized(q, query_tile, "query_tiles").join(sized(c, chunk_tile, "chunk_tiles"), "bucket"), "tiles"))
+    if bucket:
+        # One row per bucket; vectors meet it where they are, without a shuffle by bucket.
+        tiles = broadcast_if_small(stage(
+            sized(q, query_tile, "query_tiles").join(sized(c, chunk_tile, "chunk_tiles"), "bucket"), "tiles"))
+        q, c = q.join(tiles, "bucket"), c.join(tiles, "bucket")
+    else:
+        sizes = {"query_tiles": F.lit(-(-q.count() // query_tile)), "chunk_tiles": F.lit(-(-c.count() // chunk_tile))}
+        q, c = q.withColumns(sizes), c.withColumns(sizes)
 
     def spread(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        return df.join(tiles, "bucket").select(
+        rows = df.where(F.col(other) > 0).select(
             key, "vector", "bucket", F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own_name),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name))
+            F.sequence(F.lit(0), F.col(other) - 1).alias("others"))
+        return unfold(rows, [key, "vector", "bucket", own_name], "others", other_name)
 
     keys = ["bucket", "query_part", "chunk_part"]
     left = spread(q, "query_id", "query_tiles", "chunk_tiles", "query_part", "chunk_part")

@@ -109,6 +109,28 @@ def test_result_does_not_depend_on_blocks_or_staging(make_lines):
         assert sorted(find_in_lines(lines, sets, bits=bits, staged=staged).select(names).collect()) == base
 
 
+def test_context_with_too_many_matches_to_broadcast(make_lines, monkeypatch):
+    from logquarry.operators import classify
+
+    logs = random_logs(7, n_files=20)
+    sets = [RuleSet("rules", errors=("error",), grouping=GROUPINGS[1])]
+    names = ["file_path", "finding_index", "excerpt"]
+    plain = sorted(find_in_lines(make_lines(logs), sets, 2, 2).select(names).collect())
+    monkeypatch.setattr(classify, "ROWS_TO_BROADCAST", 0)
+    assert sorted(find_in_lines(make_lines(logs), sets, 2, 2).select(names).collect()) == plain
+
+
+@pytest.mark.parametrize("bits", [7, 10, 26])
+def test_prefilter_keeps_every_wanted_row(spark, bits):
+    from logquarry.operators.prefilter import possibly_in
+
+    rows = spark.range(5000).selectExpr("concat('f', id % 7) AS file", "id AS no")
+    wanted = spark.range(0, 5000, 50).selectExpr("concat('f', id % 7) AS file", "id AS no")
+    kept = possibly_in(rows, ["file", "no"], wanted, bits)
+    assert kept.join(wanted, ["file", "no"]).count() == 100
+    assert kept.count() <= (5000 if bits < 10 else 700 if bits == 10 else 101)
+
+
 def test_several_rule_sets_in_one_pass(make_lines, spark):
     logs = {"a/backup.log": ["rsnapshot x: started", "ERROR: one", "=====", "ERROR: two"], "b/web.log": ["5xx error"],
             "c/other": ["error", "===", "error"]}
