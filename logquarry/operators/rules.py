@@ -99,6 +99,18 @@ def rules_in_order(rules: RuleSet) -> list[tuple[str, int, str]]:
     return found + [("WARNING", i, p) for i, p in enumerate(kind.warnings + rules.warnings)]
 
 
+def bind_modules(modules: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
+    """Modules (name, path, pipeline) with `bound`: the rule set they name, else the one their path is routed to.
+
+    A name that no rule set has is an error.
+    """
+    known = F.col("pipeline").isin([r.name for r in rule_sets])
+    unknown = F.raise_error(F.concat(F.lit("Module "), "name", F.lit(": unknown pipeline "), "pipeline")).cast("string")
+    named = F.length("pipeline") > 0
+    return modules.withColumn("bound", F.when(named & known, F.col("pipeline")).when(named, unknown).otherwise(
+        route(F.col("path"), rule_sets)))
+
+
 def is_hit(line: Column, rules: RuleSet) -> Column:
     """A line that some rule matches and no ignore pattern does; the rarer test comes first."""
     wanted = any_match(line, [p for _, _, p in rules_in_order(rules)], ignore_case=True)

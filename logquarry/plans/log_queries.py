@@ -10,8 +10,10 @@ from logquarry.operators.grouping import chunk_lines, chunk_table
 from logquarry.operators.rules import route
 from logquarry.plans.registry import LOGS, query
 from logquarry.sources.tables import document_bodies, document_logs, spread, table
-from logquarry.sources.text_logs import explode_texts
+from logquarry.sources import sinks
+from logquarry.sources.text_logs import explode_texts, scan_text
 from logquarry.spec import Grouping, RuleSet
+from logquarry.staging import new_folder
 
 LICENSES = RuleSet("licenses", errors=(r"licensed? under", r"license"), warnings=(r"\b[a-z]*sh\b",),
                    ignores=(r"reserved",))
@@ -221,3 +223,18 @@ SELECT file_path, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(line_start AS BIGIN
 def separator_findings(spark, folder):
     return find_in_lines(lines(spark, folder), [BY_SEPARATOR]).select(
         "file_path", "chunk_no", "line_start", "physical_line_no", "severity", "rule_id", "finding_index")
+
+
+@query("text_scan", f"""WITH {LOGS} SELECT file_path, count(*) AS n_lines, true AS in_order, sum(length(line)) AS n_chars
+FROM lines GROUP BY 1""".replace("sum(length(line))", "CAST(sum(length(line)) AS BIGINT)"))
+def text_scan(spark, folder):
+    """Logs written as text files, one after another, and scanned again: their lines must be numbered consecutively."""
+    written = lines(spark, folder).repartition("file_path").sortWithinPartitions("file_path", "line_no")
+    target = new_folder(spark, "text")
+    sinks.write_text(written.select(F.concat_ws("|", "file_path", "line_no", "line").alias("value")), target)
+    parts = F.split("line", r"\|", 3)
+    scanned = scan_text(spark, [target]).select(
+        parts[0].alias("log"), (F.col("line_no") - parts[1].cast("long")).alias("shift"), parts[2].alias("text"))
+    return scanned.groupBy(F.col("log").alias("file_path")).agg(
+        F.count("*").alias("n_lines"), (F.min("shift") == F.max("shift")).alias("in_order"),
+        F.sum(F.length("text")).alias("n_chars"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import text_lines
 from logquarry.operators import budget, conversation, payloads
 from logquarry.operators.classify import find_in_texts
 from logquarry.plans.log_queries import LICENSE_FINDINGS, LICENSES
 from logquarry.plans.registry import FOUND, query
 from logquarry.schema import severity_rank
 from logquarry.sources.tables import document_bodies, event_findings, table
-from logquarry.spec import ModelGate
+from logquarry.operators import rules
+from logquarry.operators.explore import local_time
+from logquarry.sources import sinks
+from logquarry.spec import AlertChannel, ModelGate, RuleSet
 
 GATE = ModelGate(enabled=True, min_severity="ERROR", max_excerpt_lines=3, context_prefix_lines=1,
                  context_suffix_lines=1,
@@ -241,3 +243,81 @@ def message_alternation_shuffled_roles(spark, folder):
 UNION ALL SELECT conv_id, max(turn), 'system', arg_max(text, turn) FROM conversations WHERE role = 'system' GROUP BY 1""")
 def system_split(spark, folder):
     return conversation.split_system(table(spark, folder, "conversations"))
+
+
+SUMMARY = f"""{LICENSE_FINDINGS}, gated AS (SELECT *, severity = 'ERROR' AS needs_llm FROM findings)"""
+
+
+def summarised(spark, folder):
+    found = find_in_texts(document_bodies(spark, folder), [LICENSES])
+    gate = ModelGate(enabled=True, min_severity="ERROR")
+    return found.withColumn("needs_llm", payloads.needs_model(gate, F.col("severity_rank"), F.col("excerpt")))
+
+
+@query("summary_text", f"""WITH {SUMMARY} SELECT concat(file_path, ' [', pipeline_name, '] finding=', finding_index, chr(10),
+  '  severity: ', severity, chr(10), '  reason:   ', message, chr(10), '  lines:    ', line_start, '-', line_end, chr(10),
+  '  needs_llm: True', chr(10)) AS value FROM gated WHERE severity = 'ERROR'""")
+def summary_text(spark, folder):
+    return sinks.summary_text(summarised(spark, folder), "ERROR")
+
+
+@query("summary_json", f"""WITH {SUMMARY} SELECT CAST(to_json({{'file_path': file_path, 'pipeline': pipeline_name,
+  'finding_index': finding_index, 'severity': severity, 'reason': message, 'needs_llm': needs_llm,
+  'line_start': line_start, 'line_end': line_end}}) AS VARCHAR) AS value FROM gated""")
+def summary_json(spark, folder):
+    return sinks.summary_json(summarised(spark, folder))
+
+
+@query("alert_json", f"""WITH {FOUND} SELECT id, c AS channel, CAST(to_json({{'module': module_name, 'file_path': file_path,
+  'pipeline': pipeline_name, 'severity': severity, 'reason': message, 'line_start': line_start, 'line_end': line_end}})
+  AS VARCHAR) AS body FROM stored, (VALUES ('webhook', 2), ('mqtt', 1)) t(c, floor) WHERE module_name IN ('m1', 'm2')
+  AND CASE upper(severity) WHEN 'WARNING' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'CRITICAL' THEN 3 END >= floor""")
+def alert_json(spark, folder):
+    channels = [AlertChannel(m, c, "x", s) for m in ("m1", "m2") for c, s in (("webhook", "ERROR"), ("mqtt", "WARNING"))]
+    return payloads.alert_records(event_findings(spark, folder), channels).select("id", "channel", "body")
+
+
+@query("answer_json", """SELECT concat(lang, '_', 'ERROR_finding', doc_id, '_response.json') AS file_name,
+  CAST(to_json({'provider': source, 'model': lang, 'content': text, 'prompt_tokens': n_chars, 'completion_tokens': NULL})
+  AS VARCHAR) AS value FROM documents""")
+def answer_json(spark, folder):
+    rows = table(spark, folder, "documents").select(
+        F.col("lang").alias("pipeline_name"), F.lit("ERROR").alias("severity"), F.col("doc_id").alias("finding_index"),
+        F.col("source").alias("llm_provider"), F.col("lang").alias("llm_model"), F.col("text").alias("llm_response_content"),
+        F.col("n_chars").alias("llm_prompt_tokens"), F.lit(None).cast("long").alias("llm_completion_tokens"))
+    return sinks.answer_json(rows)
+
+
+@query("parse_answers", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE concat(text, '|', role) END AS content,
+  CASE WHEN turn % 2 = 0 THEN 'm' ELSE 'own' END AS model, length(text) AS prompt_tokens FROM conversations""")
+def parse_answers(spark, folder):
+    """Half of the messages as answers of one format, half as answers of the other."""
+    rows = table(spark, folder, "conversations")
+    size = F.length("text").cast("long")
+    chat = F.struct(
+        F.lit("m").alias("model"),
+        F.array(F.struct(F.struct(F.col("role"), F.col("text").alias("content")).alias("message"))).alias("choices"),
+        F.struct(size.alias("prompt_tokens")).alias("usage"))
+    blocks = F.struct(
+        F.array(*[F.struct(F.lit(kind).alias("type"), text.alias("text")) for kind, text in (
+            ("text", F.col("text")), ("image", F.lit("no")), ("text", F.concat(F.lit("|"), "role")))]).alias("content"),
+        F.struct(size.alias("input_tokens")).alias("usage"))
+    response = F.when(F.col("turn") % 2 == 0, F.to_json(chat)).otherwise(F.to_json(blocks))
+    parsed = payloads.parse_response(rows.withColumn("response", response), "own")
+    return parsed.select("conv_id", "turn", F.col("llm_response_content").alias("content"), F.col("llm_model").alias("model"),
+                         F.col("llm_prompt_tokens").alias("prompt_tokens"))
+
+
+@query("module_binding", """SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'rest' WHEN regexp_matches(n_name, '_1')
+  THEN 'ones' WHEN regexp_matches(n_name, '[3-5]$') THEN 'middle' ELSE 'ones' END AS bound FROM nation""")
+def module_binding(spark, folder):
+    sets = [RuleSet("ones", "/NATION_1"), RuleSet("middle", r"[3-5]\.log$"), RuleSet("rest", "nothing")]
+    modules = table(spark, folder, "nation").select(
+        F.col("n_name").alias("name"), F.concat(F.lit("/logs/"), "n_name", F.lit(".log")).alias("path"),
+        F.when(F.col("n_nationkey") % 4 == 0, "rest").alias("pipeline"))
+    return rules.bind_modules(modules, sets).select("name", "bound")
+
+
+@query("local_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS shown FROM events")
+def local_times(spark, folder):
+    return table(spark, folder, "events").select("event_id", local_time(F.col("ts").cast("timestamp")).alias("shown"))
