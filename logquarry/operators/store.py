@@ -15,6 +15,7 @@ from logquarry.functions.text import is_blank, regex_template, strip, text_lines
 from logquarry.operators.ordered import along
 from logquarry.schema import FINDINGS, SEVERITY_RANK, conform
 from logquarry.spec import RuleSet
+from logquarry.staging import path_exists
 
 IDENTITY = ["module_name", "file_path", "line_start", "line_end", "message", "severity"]
 
@@ -45,7 +46,7 @@ def append(batch: DataFrame, path: str, order: list[str] | None = None, modules:
     """
     spark = batch.sparkSession
     rows = conform(batch, FINDINGS)
-    if exists(spark, path):
+    if path_exists(spark, path):
         stored = spark.read.schema(FINDINGS).parquet(path)
         fresh, base = unseen(rows, read(spark, path, modules), order), stored.agg(F.max("id")).first()[0]
     else:
@@ -55,16 +56,6 @@ def append(batch: DataFrame, path: str, order: list[str] | None = None, modules:
     conform(numbered, FINDINGS).write.mode("append").partitionBy("module_name").parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.format("binaryFile").load(path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
 def retained(findings: DataFrame, now: Column, days: int) -> DataFrame:
     """Drop findings older than `days`; zero or less keeps all."""
     if days <= 0:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.text import split_lines
 from logquarry.schema import FINDINGS, LINES, conform
-from logquarry.staging import ROWS_TO_BROADCAST, stage
+from logquarry.staging import ROWS_TO_BROADCAST, path_exists, stage
 
 def scan_text(spark: SparkSession, paths: list[str], module: str | None = None) -> DataFrame:
     """Numbered lines of text files or folders (walked recursively); bad bytes become U+FFFD.
@@ -67,15 +66,9 @@ def lines_of(df: DataFrame) -> DataFrame:
 
 
 def existing_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
-    """Requested paths that can be listed, and those that are missing."""
-    found, missing = [], []
-    for path in paths:
-        try:
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).schema
-            found.append(path)
-        except AnalysisException:
-            missing.append(path)
-    return found, missing
+    """Requested paths that exist, and those that are missing."""
+    found = [p for p in paths if path_exists(spark, p)]
+    return found, [p for p in paths if p not in found]
 
 
 def missing_path_notifications(spark: SparkSession, missing: list[str]) -> DataFrame:

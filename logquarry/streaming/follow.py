@@ -21,6 +21,7 @@ from logquarry.operators.rules import hit_count, is_hit, pick
 from logquarry.operators.store import IDENTITY, append
 from logquarry.schema import FINDINGS, conform
 from logquarry.spec import Module, RuleSet
+from logquarry.staging import stage
 
 SEGMENTS = "module string, file_path string, pipeline string, generation long, segment long, arrived timestamp, text string"
 
@@ -148,11 +149,11 @@ def rolling_stats(findings: DataFrame, delay: str = "1 hour", width: str = "24 h
 def deliver(module: Module, store_path: str, payload_path: str | None = None, alert_path: str | None = None):
     """Action for each batch of findings: gate, store, payloads, alerts.
 
-    Running a batch again stores nothing twice and overwrites the files of that batch.
+    The batch is written once, so that its state is not computed again for every sink. Running a batch again stores nothing twice and overwrites the files of that batch.
     """
     def run(findings: DataFrame, batch_id: int) -> None:
-        gated = findings.withColumn(
-            "needs_llm", needs_model(module.gate, F.col("severity_rank"), F.col("excerpt")))
+        gated = stage(findings.withColumn(
+            "needs_llm", needs_model(module.gate, F.col("severity_rank"), F.col("excerpt"))), f"batch-{batch_id}")
         append(conform(gated, FINDINGS), store_path, modules=[module.name])
         if payload_path:
             payloads = with_payload(gated.where("needs_llm"), module.gate)
