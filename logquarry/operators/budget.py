@@ -69,6 +69,10 @@ def admit(requests: DataFrame, hourly: dict[str, int], daily: dict[str, int]) ->
     where no risky request lies within a day, safe requests outside those stretches are admitted at once, and only the
     stretches are decided in order, streaming, with a day of state.
     """
+    is_capped = F.col("provider").isin(sorted({*hourly, *daily}))
+    decision = ["provider", "request_id", "at_us", "estimated", "used"]
+    uncapped = requests.where(~is_capped).select(*decision, F.lit(True).alias("admitted"))
+    requests = requests.where(is_capped)
     log = requests.select("provider", "at_us", F.greatest("used", "estimated").alias("tokens"))
     usage = rolling_usage(log, {"in_hour": HOUR, "in_day": DAY}).drop("used")
 
@@ -95,9 +99,8 @@ def admit(requests: DataFrame, hourly: dict[str, int], daily: dict[str, int]) ->
         .select("provider", "stretch", "request_id", "at_us", "estimated", "used")
         .mapInPandas(in_order(hourly, daily), DECISION)
     )
-    free = rows.where(~F.col("contested")).select(
-        "provider", "request_id", "at_us", "estimated", "used", F.lit(True).alias("admitted"))
-    return free.unionByName(decided)
+    free = rows.where(~F.col("contested")).select(*decision, F.lit(True).alias("admitted"))
+    return free.unionByName(decided).unionByName(uncapped)
 
 
 def admit_stream(requests: DataFrame, hourly: dict[str, int], daily: dict[str, int]) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import java
 from logquarry.functions.text import clip, regex_template, strip, text_lines
+from logquarry.operators.prefilter import only_wanted
 from logquarry.operators.stats import recent_findings
 from logquarry.schema import SEVERITY_RANK
+from logquarry.staging import broadcast_if_small, stage
 
 PAGE_LINES = 500
 PAGE_CHARS = 4000
@@ -23,10 +25,11 @@ HEADER_LINE = r"^\[[A-Z]+\]\s+finding #\d+\s+@"
 def page(lines: DataFrame, limit: int = PAGE_LINES, offset: int = 0, max_chars: int = PAGE_CHARS) -> DataFrame:
     """Per file, the `limit` lines before the last `offset` ones, with start_line, total_lines, has_more, next_offset.
 
-    Totals are one row per file, joined as the planner sees fit. Where they are small the lines never move; where they
-    are not, an adaptive join splits the files that dominate.
+    Totals are one row per file. Where they are few they are broadcast and the lines never move; where they are not, an
+    adaptive join splits the files that dominate.
     """
-    totals = lines.groupBy("file_path").agg(F.max("line_no").alias("total_lines"))
+    totals = broadcast_if_small(stage(
+        lines.groupBy("file_path").agg(F.max("line_no").alias("total_lines")), "totals"))
     first = F.greatest(F.lit(0), F.col("total_lines") - offset - limit) + 1
     bounds = totals.where(F.col("total_lines") > offset).select(
         "file_path", "total_lines", first.alias("start_line"), (F.col("total_lines") - offset).alias("end_line"))
@@ -63,7 +66,9 @@ def log_view(shown: DataFrame, findings: DataFrame, lines: DataFrame, patterns:
     recent = newest_per_line(recent_findings(findings, limit)).withColumnRenamed("line_start", "line_no").select(
         "file_path", "line_no", F.struct("id", "severity", "message", "rule_id", "created_at").alias("finding"),
         excerpt_line(F.col("excerpt"), F.col("rule_id"), patterns).alias("quoted"))
-    texts = lines.select("file_path", "line_no", F.col("line").alias("file_line"))
+    recent = stage(recent, "recent")
+    texts = only_wanted(lines.select("file_path", "line_no", F.col("line").alias("file_line")),
+                        ["file_path", "line_no"], recent)
     known = recent.join(texts, ["file_path", "line_no"], "left")
     view = shown.select("file_path", "line_no", "line", F.lit(True).alias("on_page")).join(
         known, ["file_path", "line_no"], "full_outer")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logquarry.staging import ROWS_TO_BROADCAST
+
 SLOT_BITS = 26
 
 
@@ -22,3 +24,14 @@ def possibly_in(rows: DataFrame, keys: list[str], wanted: DataFrame, bits: int =
     kept = marked.withColumn("__word_no", F.shiftright("__slot", 6)).join(F.broadcast(used), "__word_no").where(
         F.bit_get("__word", F.col("__slot").bitwiseAND(F.lit(63)).cast("int")) == 1)
     return kept.select(*rows.columns)
+
+
+def only_wanted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose keys occur in a staged table, without a shuffle of all rows.
+
+    Few wanted keys are broadcast; many first sort out most rows by hash, and only the rest is shuffled.
+    """
+    names = wanted.select(*keys)
+    if wanted.count() <= ROWS_TO_BROADCAST:
+        return rows.join(F.broadcast(names), keys, "left_semi").select(*rows.columns)
+    return possibly_in(rows, keys, names).join(names, keys, "left_semi").select(*rows.columns)

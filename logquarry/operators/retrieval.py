@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
+from logquarry.operators.prefilter import only_wanted
 from logquarry.staging import broadcast_if_small, stage
 
 # What is taken from an excerpt into the query text, in this order.
@@ -141,8 +142,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, module_repos: DataFrame | No
         hits = (owned.join(allowed, ["query_id", "repo_id"], "left_semi").drop("repo_id")
                 .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_chunks))
     shown = F.when(F.col("score") != -1, 1 / (1 + F.col("score"))) if similarity == "inverse" else F.col("score")
-    good = hits.withColumn("similarity", shown).where(F.col("similarity") >= threshold)
-    texts = good.join(chunks.select("chunk_id", "repo_id", "heading", "content", "file_path"), "chunk_id")
+    good = stage(hits.withColumn("similarity", shown).where(F.col("similarity") >= threshold), "hits")
+    # Contents of chunks that nothing hit are not moved.
+    hit_chunks = only_wanted(chunks.select("chunk_id", "repo_id", "heading", "content", "file_path"), ["chunk_id"], good)
+    texts = good.join(hit_chunks, "chunk_id")
     same = Window.partitionBy("query_id", "content").orderBy("rank")
     distinct = texts.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
     final = Window.partitionBy("query_id").orderBy("rank")

@@ -131,6 +131,17 @@ def test_prefilter_keeps_every_wanted_row(spark, bits):
     assert kept.count() <= (5000 if bits < 10 else 700 if bits == 10 else 101)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_only_wanted(spark, monkeypatch, limit):
+    from logquarry.operators import prefilter
+
+    monkeypatch.setattr(prefilter, "ROWS_TO_BROADCAST", limit)
+    rows = spark.range(500).selectExpr("concat('f', id % 7) AS file", "id AS no", "id * 2 AS v")
+    wanted = spark.range(0, 700, 50).selectExpr("concat('f', id % 7) AS file", "id AS no", "1 AS extra")
+    kept = prefilter.only_wanted(rows, ["file", "no"], wanted)
+    assert sorted((r.no, r.v) for r in kept.collect()) == [(i, 2 * i) for i in range(0, 500, 50)]
+
+
 def test_several_rule_sets_in_one_pass(make_lines, spark):
     logs = {"a/backup.log": ["rsnapshot x: started", "ERROR: one", "=====", "ERROR: two"], "b/web.log": ["5xx error"],
             "c/other": ["error", "===", "error"]}
