@@ -12,9 +12,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores where the files offer fewer splits than there are cores; otherwise leave the scan alone."""
+    """Use all cores where the files offer too few splits for them; otherwise leave the scan alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(2 * cores, key)
 
