@@ -9,8 +9,7 @@ from logquarry.operators.rules import PRESET_RULES
 from logquarry.plans.log_queries import LICENSE_FINDINGS, LICENSES, license_findings, lines
 from logquarry.plans.registry import FOUND, LOGS, query
 from logquarry.plans.store_queries import TEMPLATE
-from logquarry.sources.tables import document_bodies, event_findings
-from logquarry.operators.classify import find_in_texts
+from logquarry.sources.tables import event_findings
 
 PAGE = """shown AS (SELECT l.*, total FROM lines l JOIN (SELECT file_path, max(line_no) AS total FROM lines GROUP BY 1) t
   USING (file_path) WHERE line_no > total - 1 - 3 AND line_no <= total - 1)"""

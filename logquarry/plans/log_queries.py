@@ -9,7 +9,7 @@ from logquarry.operators.classify import find_in_lines, find_in_texts
 from logquarry.operators.grouping import chunk_lines, chunk_table
 from logquarry.operators.rules import route
 from logquarry.plans.registry import LOGS, query
-from logquarry.sources.tables import document_bodies, document_logs, spread, table
+from logquarry.sources.tables import document_bodies, document_logs, table
 from logquarry.sources import sinks
 from logquarry.sources.text_logs import explode_texts, scan_text
 from logquarry.spec import Grouping, RuleSet

@@ -8,7 +8,6 @@ from logquarry.operators import budget, conversation, payloads
 from logquarry.operators.classify import find_in_texts
 from logquarry.plans.log_queries import LICENSE_FINDINGS, LICENSES
 from logquarry.plans.registry import FOUND, query
-from logquarry.schema import severity_rank
 from logquarry.sources.tables import document_bodies, event_findings, table
 from logquarry.operators import rules
 from logquarry.operators.explore import local_time

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logquarry.functions.text import text_lines
 from logquarry.operators import stats, store
 from logquarry.plans.registry import FOUND, query
 from logquarry.sources.tables import event_findings, table
