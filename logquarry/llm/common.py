@@ -39,11 +39,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def rows_per_block(df: DataFrame, size: int) -> int:
-    """How many blocks of about `size` rows the table makes; at least 1."""
-    return max(1, -(-df.count() // size))
-
-
 def running_sum(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, out: str) -> DataFrame:
     """Add the sum of `value` over the rows of the same keys that come before, in the order of `block`, then `order`.
 

@@ -9,6 +9,8 @@ its source's share ends is taken for the words served so far, so every source co
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logquarry.llm.common import WORD, documents, query, running_sum
@@ -16,7 +18,6 @@ from logquarry.staging import stage
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCK_ROWS = 50_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -47,16 +48,19 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
-def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows=BLOCK_ROWS) -> DataFrame:
+def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows: int | None = None) -> DataFrame:
     """The mixed stream: one row per document and round, with finish, mix_start (words before it) and words.
 
     Input: doc_id, source, size and any other columns, which are kept. A row with no word is never in the stream, nor
     is a row whose source has no share. Ties in the shuffled order are broken by doc_id, then size; rows that are equal
-    in both may change places, with the same result.
+    in both may change places, with the same result. Running sums are made over blocks of `block_rows` rows, by
+    default the square root of all rows and 1000 at least, so that neither a block nor the list of blocks is long.
     """
     per_source = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
     goals = stage(targets(per_source, weights, share, most), "targets").select(
         F.col("source").alias("__source"), "source_size", "target", "rows")
+    count = goals.agg(F.sum("rows")).first()[0] or 0
+    block_rows = block_rows or max(1000, math.isqrt(count))
     shuffled = sized.join(goals, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
         "__turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).drop("__source")
     # Blocks of the shuffled order: as many ranges of the leading 28 bits as the source has blocks of rows.
@@ -70,7 +74,7 @@ def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows
     ).where("words > 0").withColumn("finish", (F.col("before") + F.col("words")) / F.col("target"))
     total = F.lit(share) * F.lit(goals.agg(F.sum("source_size")).scalar())
     # Finish times are spread evenly over 0..1 when counted in words, so equal ranges of them are even blocks.
-    pieces = F.lit(max(1, -(-goals.agg(F.sum("rows")).first()[0] * most // block_rows)) if not goals.isEmpty() else 1)
+    pieces = F.lit(max(1, -(-count * most // block_rows)))
     merged = running_sum(
         served, [], F.floor(F.least(F.col("finish"), F.lit(1.0)) * pieces), ["finish", "source", "__turn", "doc_id", "size"],
         "words", "mix_start")
