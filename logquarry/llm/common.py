@@ -39,6 +39,12 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def small(staged: DataFrame, rows: int) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast when it has at most `rows` rows; otherwise left to a
+    shuffled join with the same result."""
+    return F.broadcast(staged) if staged.count() <= rows else staged
+
+
 def running_sum(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, out: str) -> DataFrame:
     """Add the sum of `value` over the rows of the same keys that come before, in the order of `block`, then `order`.
 
