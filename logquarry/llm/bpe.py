@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logquarry.llm.common import arrow_batches, documents, query
+from logquarry.llm.common import arrow_batches, documents, extended, query
 from logquarry.llm.token_counts import PIECES, vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -116,7 +116,7 @@ def encode(docs: DataFrame, keep: list[str], ranks: dict[bytes, int] | None = No
     """The columns `keep` and ids, an array; one row per input row, an empty array for a null or empty text."""
     ranks = ranks or read_ranks(vocabulary_path(VOCABULARY))
     source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
+    schema = extended(docs, keep, "ids array<int>")
     encoder = Encoder(ranks)
 
     def work(batch):

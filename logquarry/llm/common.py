@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,8 +65,13 @@ def running_sum(df: DataFrame, keys: list[str], block: Column, order: list[str],
     return local.join(carried, same).select(*df.columns, (F.col("__local") + F.col("__carried")).alias(out))
 
 
+def extended(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The types of the columns `keep` and of those in the declaration `more`."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+
 def arrow_batches(
-    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict]], slice_bytes: int = 4 << 20,
+    df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], Iterator[dict]], slice_bytes: int = 4 << 20,
 ) -> DataFrame:
     """`work` over Arrow batches that are cut so that each holds about `slice_bytes` of input or a single row.
 

@@ -29,10 +29,11 @@ def chunks(text: Column) -> Column:
 
 def clashing_chunks(pieces: DataFrame) -> DataFrame:
     """Chunks (hash, chunk) whose hash stands for several texts, with the ordinal of each; usually no row."""
-    distinct = pieces.distinct()
-    several = distinct.groupBy("hash").count().where("count > 1").select("hash")
+    several = stage(pieces.distinct().groupBy("hash").count().where("count > 1").select("hash"), "clashing-hashes")
+    if several.isEmpty():
+        return pieces.limit(0).withColumn("ordinal", F.lit(0))
     by_text = Window.partitionBy("hash").orderBy("chunk")
-    return distinct.join(several, "hash").withColumn("ordinal", F.row_number().over(by_text))
+    return pieces.join(several, "hash").distinct().withColumn("ordinal", F.row_number().over(by_text))
 
 
 def recipes(docs: DataFrame, digest=chunk_hash) -> DataFrame:

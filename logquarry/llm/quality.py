@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logquarry.llm.common import arrow_batches, documents, labels, query
+from logquarry.llm.common import arrow_batches, documents, extended, labels, query
 
 # Labelled rows used for learning, at most; taken in the order of md5(doc_id).
 LABELLED_ROWS = 20_000
@@ -63,14 +63,11 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and one column `__counts`, a struct of the statistics of `text` (null counts as empty)."""
-    source = docs.select(*keep, F.col("text").alias("__text")) if "text" not in keep else docs.select(*keep)
-    name = "text" if "text" in keep else "__text"
-    fields = [(c, docs.schema[c].dataType) for c in keep]
-    schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in fields),
-                        f"__counts struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>"])
+    source = docs.select(*keep, F.col("text").alias("__text"))
+    schema = extended(docs, keep, f"__counts struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
 
     def work(batch):
-        rows = [counts_of(t) for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+        rows = [counts_of(t) for t in batch.column(len(keep)).to_pylist()]
         columns = {c: batch.column(i) for i, c in enumerate(keep)}
         each = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
         columns["__counts"] = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in each], list(COUNTS))
@@ -202,13 +199,11 @@ def examples(docs: DataFrame, marked: DataFrame, limit: int = LABELLED_ROWS) ->
     return {n: rows[n].to_numpy(float) for n in columns}, rows["quality"].to_numpy() == 0
 
 
-def judged(docs: DataFrame, marked: DataFrame, keep: list[str], limit: int = LABELLED_ROWS) -> DataFrame:
+def judged_by(rules: list[list[Test]], docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs`, the statistics, base_failed and kept, one row per input row.
 
-    A null or empty text has no words and fails the base rule. Without usable labels the list is empty and the base
-    rule alone decides. Other columns are neither read nor changed.
+    A null or empty text has no words and fails the base rule. Other columns are neither read nor changed.
     """
-    rules = learn(*examples(docs, marked, limit))
     counted = with_counts(docs, keep)
     counts = F.col("__counts")
     failed = base_failed(counts)
@@ -216,6 +211,12 @@ def judged(docs: DataFrame, marked: DataFrame, keep: list[str], limit: int = LAB
         *keep, "__counts", failed.alias("base_failed"), (~failed & verdict(rules, features(counts))).alias("kept"))
 
 
+def judged(docs: DataFrame, marked: DataFrame, keep: list[str], limit: int = LABELLED_ROWS) -> DataFrame:
+    """`judged_by` rules that are learned from `marked` (doc_id, quality); without usable labels the list is empty and
+    the base rule alone decides."""
+    return judged_by(learn(*examples(docs, marked, limit)), docs, keep)
+
+
 @query("op2_quality_rules")
 def op2(spark, folder):
     found = judged(documents(spark, folder), labels(spark, folder), ["doc_id"])

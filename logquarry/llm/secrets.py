@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logquarry.llm.common import arrow_batches, documents, query
+from logquarry.llm.common import arrow_batches, documents, extended, query
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -146,8 +146,7 @@ def scan(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     length are scanned whole.
     """
     source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep),
-                        "n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string"])
+    schema = extended(docs, keep, "n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string")
 
     def work(batch):
         found = [all_spans(t or "", models) for t in batch.column(len(keep)).to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logquarry.llm.common import arrow_batches, documents, query
+from logquarry.llm.common import arrow_batches, documents, extended, query
 from logquarry.llm.components import components
 from logquarry.staging import stage
 
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and `__fingerprint` of the text, one row per input row."""
     source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "__fingerprint bigint"])
+    schema = extended(docs, keep, "__fingerprint bigint")
 
     def work(batch):
         columns = {c: batch.column(i) for i, c in enumerate(keep)}

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logquarry.llm.common import arrow_batches, documents, query
+from logquarry.llm.common import arrow_batches, documents, extended, query
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -152,7 +152,7 @@ def prefix_counts(docs: DataFrame, keep: list[str], path: str | None = None) ->
     """
     path = path or vocabulary_path(VOCABULARY)
     source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "prefix_tokens array<int>"])
+    schema = extended(docs, keep, "prefix_tokens array<int>")
     state: dict[str, Counter] = {}
 
     def work(batch):
