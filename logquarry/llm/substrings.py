@@ -24,7 +24,7 @@ from logquarry.llm.common import arrow_batches, documents, query, small
 from logquarry.staging import stage
 
 WIDTH, GRAM = 100, 20
-CROWD = 2_000
+CROWD = 20_000
 BLOCK_BYTES = 1 << 20
 CHUNK = 1 << 20
 NO_ID = -(1 << 63)
@@ -37,7 +37,7 @@ def grams(data: np.ndarray) -> np.ndarray:
     kept = {}
     while span * 2 <= GRAM:
         kept[span] = sums, power
-        sums, power, span = sums[:-span] * power + sums[span:], power * power, span * 2
+        sums, power, span = sums[:-span] * power + sums[span:], np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), span * 2
     left = GRAM - span
     while left:
         step = max(s for s in kept if s <= left)
@@ -51,15 +51,14 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of `width` values from each place on, leftmost of equal ones."""
-    best, place, span = values, np.arange(len(values), dtype=np.int32), 1
+    """The place of the least of `width` values from each place on, leftmost of equal ones. The leading 32 bits are
+    compared; the place behind them settles ties."""
+    best, span = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        later = best[step:] < best[:-step]
-        best = np.where(later, best[step:], best[:-step])
-        place = np.where(later, place[step:], place[:-step])
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return place
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def segments_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,25 +110,38 @@ def segment_list(keys: DataFrame) -> DataFrame:
     return arrow_batches(keys, "doc bigint, print bigint, anchor bigint, signature bigint, start bigint, count bigint", work, 1 << 20)
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse, by doubling; the symbols must hold separators that occur once."""
+def suffix_order(symbols: np.ndarray, separators: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and its inverse, from the first five symbols on by putting the ranks of neighbouring stretches together. Symbols below `separators` occur once
+    each and stand between texts; what follows one does not matter, so it is read as one number."""
     size = len(symbols)
-    rank, span = symbols.astype(np.int64), 1
+    plain = np.maximum(symbols - (separators - 1), 0)
+    key, stop, open_ = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, bool)
+    for step in range(5):
+        at = np.minimum(np.arange(step, size + step), size - 1)
+        key = key * 257 + np.where(open_, plain[at], 0)
+        ends = open_ & (symbols[at] < separators)
+        stop[ends] = symbols[at[ends]] + 1
+        open_ &= ~ends
+    key, span = key * np.int64(separators + 1) + stop, 5
     while True:
-        following = np.zeros(size, np.int64)
-        following[:-span] = rank[span:] + 1
-        key = rank * np.int64(rank.max() + 2) + following
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(size, np.int64)
         rank[order] = fresh
-        span *= 2
-        if fresh[-1] == size - 1 or span >= size:
+        if fresh[-1] == size - 1:
             return order, rank
+        # Three ranks fit in one number while there are under two million suffixes; else two.
+        parts = 3 if size < (1 << 21) - 1 else 2
+        key = rank
+        for part in range(1, parts):
+            following = np.zeros(size, np.int64)
+            following[:max(0, size - part * span)] = rank[part * span:] + 1
+            key = key * np.int64(size + 1) + following
+        span *= parts
 
 
-def shared_prefix_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_prefix_classes(symbols: np.ndarray, separators: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, class): suffixes in order, those that share `width` symbols in one class.
 
     An interval holds the suffixes that begin with one word. Reading the transform inside it, each symbol extends the
@@ -137,7 +149,7 @@ def shared_prefix_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray,
     boundary, the common prefix there is the length of the shorter word, and the interval is extended in turn. Level by
     level the words grow by one symbol; at `width` the boundaries that are missing have longer common prefixes.
     """
-    order, rank = suffix_order(symbols)
+    order, rank = suffix_order(symbols, separators)
     size = len(symbols)
     back = rank[order - 1]  # where a suffix goes when extended by the symbol before it
     forth = np.empty(size, np.int64)
@@ -171,8 +183,9 @@ def shared_prefix_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray,
     return order, np.cumsum(boundary[:-1])
 
 
-def later_strings(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each segment the offsets of its strings that start earlier in another one; place is (doc, start + offset)."""
+def later_strings(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(segment, low, high): runs of offsets of strings that start earlier in another segment; a string's place is
+    (doc, start + offset)."""
     lengths = np.array([len(t) for t in texts], np.int64)
     count, total = len(texts), int(lengths.sum()) + len(texts)
     symbols, owner, offset = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
@@ -184,30 +197,21 @@ def later_strings(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, widt
         owner[at:at + size + 1] = i
         offset[at:at + size + 1] = np.arange(size + 1)
         at += size + 1
-    order, classes = shared_prefix_classes(symbols, width)
+    order, classes = shared_prefix_classes(symbols, count, width)
     several = np.bincount(classes)[classes] > 1
     place, classes = order[several], classes[several]
-    who, where = owner[place], offset[place]
-    ranked = np.lexsort((starts[who] + where, docs[who], classes))
-    who, where, classes = who[ranked], where[ranked], classes[ranked]
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1]) if len(classes) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([begins, [len(classes)]]))
-    lead = np.repeat(begins, sizes)
-    later = (docs[who] != docs[who[lead]]) | (starts[who] + where != starts[who[lead]] + where[lead])
-    who, where = who[later], where[later]
-    sorted_ = np.lexsort((where, who))
-    who, where = who[sorted_], where[sorted_]
-    bounds = np.searchsorted(who, np.arange(count + 1))
-    return [where[bounds[i]:bounds[i + 1]] for i in range(count)]
-
-
-def runs(offsets: np.ndarray) -> list[dict]:
-    """Runs of consecutive numbers as (low, high)."""
-    if not len(offsets):
-        return []
-    cuts = np.flatnonzero(np.diff(offsets) > 1)
-    return [{"low": int(a), "high": int(b)} for a, b in
-            zip(offsets[np.concatenate([[0], cuts + 1])], offsets[np.concatenate([cuts, [len(offsets) - 1]])], strict=True)]
+    later = np.zeros(total, bool)
+    if len(place):
+        # One number for the place of a string in the corpus: the rank of its document here, then its start.
+        rank = np.unique(docs, return_inverse=True)[1]
+        where = (rank[owner[place]] << 40) + starts[owner[place]] + offset[place]
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1])
+        least = np.minimum.reduceat(where, begins)
+        later[place] = where != np.repeat(least, np.diff(np.concatenate([begins, [len(place)]])))
+    # Runs of such strings end at the separators, so they can be read off the whole row of symbols.
+    edges = np.diff(np.concatenate([[0], later.astype(np.int8), [0]]))
+    low, high = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    return owner[low], offset[low], offset[high]
 
 
 def compared_in_blocks(variants: DataFrame, blocks: int) -> DataFrame:
@@ -215,9 +219,9 @@ def compared_in_blocks(variants: DataFrame, blocks: int) -> DataFrame:
     def work(pdf):
         import pandas as pd
 
-        found = later_strings(pdf["bytes"].tolist(), pdf["doc"].to_numpy(), pdf["start"].to_numpy())
-        rows = [(a, s, r["low"], r["high"]) for a, s, o in zip(pdf["anchor"], pdf["signature"], found, strict=True) for r in runs(o)]
-        return pd.DataFrame(rows, columns=["anchor", "signature", "low", "high"])
+        which, low, high = later_strings(pdf["bytes"].tolist(), pdf["doc"].to_numpy(), pdf["start"].to_numpy())
+        return pd.DataFrame({
+            "anchor": pdf["anchor"].to_numpy()[which], "signature": pdf["signature"].to_numpy()[which], "low": low, "high": high})
 
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks))
     return variants.groupBy(block.alias("block")).applyInPandas(
@@ -273,20 +277,22 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD, block_bytes: int = BLOCK
     whole = placed.where(~is_lead).select("doc", "print", F.col("start").alias("low"), (F.col("start") + F.col("count") - 1).alias("high"))
     parts = placed.where(is_lead).join(partial, ["anchor", "signature"]).select(
         "doc", "print", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    every = whole.union(parts).groupBy("doc", "print").agg(F.collect_set(F.struct("low", "high")).alias("strings"))
+    every = whole.union(parts).groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("strings"))
 
     def work(batch):
-        out = []
-        for strings in batch.column(2).to_pylist():
-            spans = []
-            for s in sorted((s["low"], s["high"] + WIDTH) for s in strings):
-                if spans and s[0] <= spans[-1]["high"]:
-                    spans[-1]["high"] = max(spans[-1]["high"], s[1])
-                else:
-                    spans.append({"low": s[0], "high": s[1]})
-            out.append(spans)
+        lists = batch.column(2)
+        sizes = np.diff(np.asarray(lists.offsets))
+        strings = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows, dtype=np.int64) << 40, sizes)
+        low, high = row + np.asarray(strings.field(0)), row + np.asarray(strings.field(1)) + WIDTH
+        reach = np.maximum.accumulate(high)
+        first = np.concatenate([[True], low[1:] > reach[:-1]])
+        last = np.concatenate([first[1:], [True]])
+        spans = np.bincount((low[first] >> 40), minlength=batch.num_rows)
+        mask = np.int64((1 << 40) - 1)
+        pieces = pa.StructArray.from_arrays([pa.array(low[first] & mask), pa.array(reach[last] & mask)], ["low", "high"])
         yield {"doc": batch.column(0), "print": batch.column(1),
-               "spans": pa.array(out, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))}
+               "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32()), pieces)}
 
     return arrow_batches(every, "doc bigint, print bigint, spans array<struct<low: bigint, high: bigint>>", work, 1 << 20)
 

@@ -45,7 +45,7 @@ def test_classes_of_shared_prefixes():
         parts += [p[3:] + b"a" for p in parts]
         width = draw.randint(1, 7)
         symbols = np.concatenate([np.concatenate([np.frombuffer(p, np.uint8).astype(int) + len(parts), [i]]) for i, p in enumerate(parts)])
-        order, classes = sub.shared_prefix_classes(symbols, width)
+        order, classes = sub.shared_prefix_classes(symbols, len(parts), width)
         words = [tuple(symbols[i:i + width]) for i in order]
         for a in range(1, len(order)):
             assert (classes[a] == classes[a - 1]) == (words[a] == words[a - 1])
@@ -70,7 +70,7 @@ def generated(seed, count=40):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"block_bytes": 2000}, {"crowd": 3, "block_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"crowd": 3}, {"block_bytes": 2000}, {"crowd": 3, "block_bytes": 500}])
 def test_against_brute_force(spark, options):
     rows = generated(len(options) + 1)
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
