@@ -7,7 +7,7 @@ import sequential
 from logquarry.operators import rules
 from logquarry.operators.classify import custom_chunk_findings, find_in_lines, find_in_texts
 from logquarry.operators.grouping import chunk_lines
-from logquarry.spec import Grouping, Module, RuleSet, read_rule_sets
+from logquarry.spec import Grouping, RuleSet, read_module, read_rule_sets
 
 MARKERS_LOG = ["before", "BEGIN a", "x error", "END", "between", "BEGIN b", "BEGIN c END", "error y", "END"]
 SEPARATORS_LOG = ["lead", "=== 1", "=== 2", "one error", "two", "=== 3", "tail error", "=== 4"]
@@ -212,11 +212,22 @@ def test_configured_rules(make_lines):
     assert sorted((r.file_path, r.line_start, r.severity) for r in found) == [
         ("access.log", 1, "ERROR"), ("access.log", 4, "WARNING"), ("cloud1.log", 1, "ERROR"), ("cloud1.log", 2, "WARNING"),
         ("home.txt", 1, "ERROR"), ("home.txt", 3, "ERROR")]
-    module = Module.from_mapping(CONFIG["modules"][0], {"providers": {"p": {"max_excerpt_lines": 7}}})
+    module = read_module(CONFIG["modules"][0], {"providers": {"p": {"max_excerpt_lines": 7}}})
+    assert read_module(CONFIG["modules"][0], {"providers": {"p": {}}, "max_excerpt_lines": 50}).gate.max_excerpt_lines == 50
     assert module.mode == "follow" and module.gate.max_excerpt_lines == 7 and module.gate.min_severity == "ERROR"
     assert [(c.channel, c.min_severity) for c in module.channels] == [("webhook", "ERROR"), ("mqtt", "WARNING")]
 
 
+def test_template_of_a_module(tmp_path):
+    (tmp_path / "prompt.txt").write_text("{severity:>9}: {reason}")
+    item = {"name": "m", "path": "/x", "llm": {"prompt_template": str(tmp_path / "prompt.txt")}}
+    assert read_module(item).gate.template == "{severity:>9}: {reason}"
+    for wrong in ({"mode": "x"}, {"stale_after_minutes": 0}, {"stale_after_minutes": "soon"}, {"output_format": "xml"},
+                  {"llm": {"context_prefix_lines": -1}}, {"llm": {"prompt_template": "/missing"}}):
+        with pytest.raises(ValueError, match="module m"):
+            read_module({"name": "m", "path": "/x"} | wrong)
+
+
 @pytest.mark.parametrize("bad", [
     {"name": "p", "grouping": {"type": "unknown"}}, {"name": "p", "classifier": {"error_regexes": ["("]}},
     {"name": "p", "grouping": ["x"]}])

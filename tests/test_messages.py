@@ -11,48 +11,46 @@ from logquarry.spec import AlertChannel, ModelGate
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-def sequential_alternation(messages):
-    system, out = [], []
-    for role, text in messages:
-        role = (role or "").strip().lower()
-        if text is None or not text.strip():
-            continue
-        if role == "system":
-            system.append(text)
-        elif out and out[-1][0] == (role if role in ("user", "assistant") else "user"):
-            out[-1][1] = out[-1][1].rstrip() + "\n\n" + text.lstrip()
-        else:
-            out.append([role if role in ("user", "assistant") else "user", text])
-    block = "\n\n".join(system)
-    if system and out and out[0][0] == "user":
-        out[0][1] = block + "\n\n" + out[0][1]
-    elif system:
-        out.insert(0, ["user", block])
-    if out and out[0][0] == "assistant":
-        out[0][0] = "user"
-        if len(out) > 1:
-            second = out.pop(1)
-            out[0][1] = out[0][1].rstrip() + "\n\n" + second[1].lstrip()
-    return [tuple(m) for m in out]
+# Conversations and what becomes of them.
+CONVERSATIONS = {
+    "plain": ([("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "b")]),
+    "same role twice": ([("user", "a "), ("user", " b"), ("assistant", "c")], [("user", "a\n\nb"), ("assistant", "c")]),
+    "blank texts": ([("user", "a"), ("assistant", "  "), ("assistant", None), ("user", "b")], [("user", "a\n\nb")]),
+    "unknown role": ([("tool", "a"), (None, "b"), ("ASSISTANT ", "c")], [("user", "a\n\nb"), ("assistant", "c")]),
+    "several system texts": ([("system", "s"), ("user", "a"), ("system", "t"), ("assistant", "b")], [("user", "s\n\nt\n\na"), ("assistant", "b")]),
+    "assistant first": ([("assistant", "a "), ("user", " b"), ("assistant", "c")], [("user", "a\n\nb"), ("assistant", "c")]),
+    "assistant only": ([("assistant", " a ")], [("user", " a ")]),
+    "system, then assistant": ([("system", "s"), ("assistant", "a"), ("user", "b")], [("user", "s"), ("assistant", "a"), ("user", "b")]),
+    "only system": ([("system", "s"), ("system", "t")], [("user", "s\n\nt")]),
+    "nothing": ([("user", " ")], []),
+}
+
+
+def alternated(spark, talks, bits):
+    names = sorted(talks)
+    rows = [(c, t, role, text) for c, name in enumerate(names) for t, (role, text) in enumerate(talks[name])]
+    got = {name: [] for name in names}
+    for r in conversation.alternate(spark.createDataFrame(rows, SCHEMA), bits=bits).orderBy("conv_id", "first_turn").collect():
+        got[names[r.conv_id]].append((r.role, r.content))
+    return got
 
 
 @pytest.mark.parametrize("bits", [1, 3, 16])
 def test_alternation(spark, bits):
+    assert alternated(spark, {n: talk for n, (talk, _) in CONVERSATIONS.items()}, bits) == {n: out for n, (_, out) in CONVERSATIONS.items()}
+
+
+@pytest.mark.parametrize("bits", [1, 16])
+def test_alternation_keeps_every_text(spark, bits):
+    """Roles alternate from the user on, and each text that is not blank is in the result once, system texts first."""
     rnd = random.Random(bits)
-    talks = {c: [(rnd.choice(["user", "assistant", "system", "tool", None, " USER "]),
-                  rnd.choice(["a", " b ", "", "  ", None, "c\n", "\nd"])) for _ in range(rnd.randint(1, 14))]
-             for c in range(60)}
-    talks[100] = [("system", "only"), ("system", "these")]
-    talks[101] = [("assistant", " first ")]
-    talks[102] = [("user", " ")]
-    talks[103] = [("user", f"u{i}") for i in range(200)]
-    rows = [(c, t, role, text) for c, talk in talks.items() for t, (role, text) in enumerate(talk)]
-    got = defaultdict(list)
-    df = spark.createDataFrame(rows, SCHEMA)
-    for r in conversation.alternate(df, bits=bits).orderBy("conv_id", "first_turn").collect():
-        got[r.conv_id].append((r.role, r.content))
-    for c, talk in talks.items():
-        assert got[c] == sequential_alternation(talk), (c, talk)
+    talks = {f"{c:03}": [(rnd.choice(["user", "assistant", "system", "tool", None, " USER "]), rnd.choice([f"t{i}", f" t{i} ", "", None]))
+                         for i in range(rnd.randint(1, 40))] for c in range(60)}
+    for name, messages in alternated(spark, talks, bits).items():
+        assert [role for role, _ in messages] == ["user", "assistant"] * (len(messages) // 2) + ["user"] * (len(messages) % 2)
+        said = [text.strip() for role, text in talks[name] if (text or "").strip() and role != "system"]
+        told = [text.strip() for role, text in talks[name] if (text or "").strip() and role == "system"]
+        assert " ".join(content for _, content in messages).split() == told + said
 
 
 def test_system_split_and_tokens(spark):
@@ -136,6 +134,11 @@ def test_payload_texts(spark):
     assert whole.first().payload == "2 {x} why\n----- BEGIN LOG CHUNK -----\na\nb\n----- END LOG CHUNK -----\n"
     fallback = payloads.with_payload(one_finding(spark), ModelGate(template="{error_count}")).first().payload
     assert "Write a concise, human-readable briefing" in fallback
+    laid_out = payloads.with_payload(one_finding(spark), ModelGate(template="{severity:*^9}|{reason:>5.2}|{line_count:3}|{file_path!s:<8}|"))
+    assert laid_out.first().payload.startswith("**ERROR**|   wh|  1|/f.log  |\n")
+    for other in ("{severity:,}", "{line_count:s}", "{severity!r}", "{severity:d}", "{line_count:03}"):
+        text = payloads.with_payload(one_finding(spark), ModelGate(template=other)).first().payload
+        assert "Write a concise, human-readable briefing" in text
     counted = payloads.with_payload(one_finding(spark), ModelGate(template="{error_count}"), extra_counts=True)
     assert counted.first().payload.startswith("1\n-----")
     assert payloads.with_payload(one_finding(spark, needs=False), ModelGate()).first().payload is None

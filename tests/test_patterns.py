@@ -42,9 +42,11 @@ def test_same_matches_as_python(spark, pattern, ignore_case):
         assert row.found == [m.group(0) for m in compiled.finditer(row.s)], (pattern, row.s)
 
 
-def expected_template(line):
-    quoted = re.escape(line.strip())
-    return re.sub(r"[A-Fa-f0-9]{6,}", r"[A-Fa-f0-9]+", re.sub(r"\d+", r"\\d+", quoted))
+# Lines and the patterns that are suggested for them.
+TEMPLATES = {
+    "disk 12 full": r"disk\ \d+\ full", "  padded  ": "padded", "id deadbeefcafe seen": r"id\ [A-Fa-f0-9]+\ seen",
+    "a.b(c)*": r"a\.b\(c\)\*", "": "", "v1.2.3": r"v\d+\.\d+\.\d+", "[x] #1": r"\[x\]\ \#\d+",
+}
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -54,15 +56,17 @@ def test_text_functions_match_python(spark, texts):
     texts = texts + SAMPLES + ["a\r\nb\rc\n", "\n", "x\n\ny", " \t\x1f z\x85"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     s = F.col("s")
-    for row in df.select("s", strip(s).alias("strip"), words(s).alias("words"), split_lines(s).alias("lines"),
-                         regex_template(s).alias("template")).collect():
+    for row in df.select("s", strip(s).alias("strip"), words(s).alias("words"), split_lines(s).alias("lines")).collect():
         plain = row.s.replace("\r\n", "\n").replace("\r", "\n")
         lines = plain.split("\n")
         assert row.strip == row.s.strip()
         assert row.words == row.s.split()
         assert row.lines == (lines[:-1] if lines[-1] == "" else lines)
-        if row.s.isascii():
-            assert row.template == expected_template(row.s), row.s
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([(t,) for t in TEMPLATES], "s string")
+    assert {r.s: r.t for r in df.select("s", regex_template(F.col("s")).alias("t")).collect()} == TEMPLATES
 
 
 def test_suffix(spark):
