@@ -25,7 +25,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPECIAL = "<|endoftext|>"
 # Code points on whose kind this pattern's engine and the library's agree; texts with others are split by the library.
 AGREED = r"[\x00-ԯḀ-῿‐-⁤₠-₿　-鿯가-힣\U0001F300-\U0001F64F]"
-KNOWN_PIECES = 400_000
+# What a task keeps of pieces and prefixes met before, and the length from which prefixes are not kept.
+KNOWN_PIECES, KNOWN_PREFIXES, LONG_PIECE = 400_000, 400_000, 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,6 +50,7 @@ class Counter:
         self.longest = max(map(len, self.parts), default=1)
         self.path = path
         self.known: dict[str, np.ndarray] = {}
+        self.states: dict[bytes, tuple[int, bytes]] = {}
         self.pieces = regex.compile(PIECES)
         self.blanks = regex.compile(r"\s\s+")
         self.unsure = regex.compile(AGREED.replace("[", "[^", 1))
@@ -65,30 +67,42 @@ class Counter:
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether `left` and `right` stay apart. Walks back through the merges of both, latest first: tokens at the
         border live from their own merge to that of their parent, and a merge of the two in that time would join them."""
-        parts = self.parts
+        get = self.parts.get
         left_until = right_until = 1 << 60
+        made_left, made_right = get(left), get(right)
         while True:
-            joined = parts.get(left + right)
+            joined = get(left + right)
             if joined is not None and joined[1] == left and joined[0] < left_until and joined[0] <= right_until:
                 return False
-            made_left, made_right = parts.get(left), parts.get(right)
             if made_left is None and made_right is None:
                 return True
             if made_right is None or (made_left is not None and made_left[0] > made_right[0]):
                 left_until, left = made_left[0], made_left[2]
+                made_left = get(left)
             else:
                 right_until, right = made_right[0], made_right[1]
+                made_right = get(right)
 
     def counts(self, piece: bytes) -> list[int]:
-        """Tokens of every byte prefix, from 1 byte on."""
-        size, parts, longest, fits = len(piece), self.parts, self.longest, self.fits
+        """Tokens of every byte prefix, from 1 byte on. Pieces share prefixes: the count and the last token of every
+        prefix met are kept, so only what follows the longest known one is worked out."""
+        size, parts, longest, fits, states = len(piece), self.parts, self.longest, self.fits, self.states
+        if len(states) > KNOWN_PREFIXES:
+            states.clear()
+        known = min(size, LONG_PIECE)
+        while known and piece[:known] not in states:
+            known -= 1
         count, last = [0] * (size + 1), [b""] * (size + 1)
-        for end in range(1, size + 1):
+        for end in range(1, known + 1):
+            count[end], last[end] = states[piece[:end]]
+        for end in range(known + 1, size + 1):
             for start in range(max(0, end - longest), end):
                 token = piece[start:end]
                 if (start == end - 1 or token in parts) and (start == 0 or fits(last[start], token)):
                     count[end], last[end] = count[start] + 1, token
                     break
+            if end <= LONG_PIECE:
+                states[piece[:end]] = count[end], last[end]
         return count[1:]
 
     def piece(self, piece: str) -> np.ndarray:
