@@ -134,7 +134,7 @@ def word_windows(chunks: DataFrame) -> DataFrame:
 
 def to_chunks(pieces: DataFrame) -> DataFrame:
     """Add a stable chunk id and the metadata."""
-    text_hash = F.hex(F.xxhash64("content"))
+    text_hash = F.md5("content")
     part = F.when(F.col("part").isNotNull(), F.concat(F.lit("_"), (F.col("part") - 1).cast("string"))).otherwise("")
     return pieces.select(
         F.concat(F.concat_ws(":", "repo_id", base_name(F.col("file_path")), text_hash), part).alias("chunk_id"),
@@ -156,7 +156,8 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 def embed(rows: DataFrame, text: str = "content", out: str = "embedding", size: int = EMBEDDING_SIZE,
           embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
-    """Add unit vectors. A given embedder maps a batch of texts to a matrix; the default hashes words, on the JVM."""
+    """Add unit vectors. A given embedder maps a batch of texts to a matrix; the default counts words by the
+    leading 32 bits of their md5."""
     if embedder is not None:
         @F.pandas_udf("array<float>")
         def run(texts: pd.Series) -> pd.Series:
@@ -166,10 +167,11 @@ def embed(rows: DataFrame, text: str = "content", out: str = "embedding", size:
 
         return rows.withColumn(out, run(F.col(text)))
 
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    @F.pandas_udf("array<float>")
+    def unit_counts(places: pd.Series) -> pd.Series:
+        counts = [np.bincount(np.asarray(p, np.int64), minlength=size).astype(np.float64) for p in places]
+        return pd.Series([(c / (np.sqrt((c * c).sum()) or 1)).astype(np.float32) for c in counts])
 
-    tokens = rows.withColumn("__words", words(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    counted = HashingTF(numFeatures=size, inputCol="__words", outputCol="__tf").transform(tokens)
-    unit = Normalizer(p=2.0, inputCol="__tf", outputCol="__unit").transform(counted)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
+    places = F.transform(words(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: F.pmod(
+        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(size)))
+    return rows.withColumn(out, unit_counts(places))

@@ -58,9 +58,10 @@ def excerpt_line(excerpt: Column, rule_id: Column, patterns: list[str]) -> Colum
 
 
 def log_view(shown: DataFrame, findings: DataFrame, lines: DataFrame, patterns: list[str],
-             limit: int = 50) -> DataFrame:
-    """Page lines with their newest finding, plus lines of recent findings that are not on the page.
+             limit: int | None = None) -> DataFrame:
+    """Page lines with their newest finding, plus lines of findings that are not on the page.
 
+    With a `limit`, only so many of the newest findings of each module are looked at.
     Those take their text from the file, else from the excerpt; without either the finding is left out.
     """
     recent = newest_per_line(recent_findings(findings, limit)).withColumnRenamed("line_start", "line_no").select(

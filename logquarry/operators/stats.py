@@ -91,8 +91,10 @@ def notification_summary(notifications: DataFrame, tie: str = "id") -> DataFrame
         F.col("n").alias("n_notifications"))
 
 
-def recent_findings(findings: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest findings of every module. The limit is applied per task before rows meet."""
+def recent_findings(findings: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The newest findings of every module, all of them without a limit. It is applied per task before rows meet."""
+    if limit is None:
+        return findings
     newest = Window.partitionBy("module_name").orderBy(F.desc("created_at"), F.desc("id"))
     return findings.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= limit)
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logquarry.functions.patterns import java
 from logquarry.functions.text import is_blank, regex_template, strip, text_lines
 from logquarry.operators.ordered import along
 from logquarry.schema import FINDINGS, SEVERITY_RANK, conform
 from logquarry.spec import RuleSet
-from logquarry.staging import path_exists
+from logquarry.staging import path_exists, stage
 
 IDENTITY = ["module_name", "file_path", "line_start", "line_end", "message", "severity"]
 
@@ -51,11 +51,33 @@ def append(batch: DataFrame, path: str, order: list[str] | None = None, modules:
         fresh, base = unseen(rows, read(spark, path, modules), order), stored.agg(F.max("id")).first()[0]
     else:
         fresh, base = first_of_each(rows, order or ["finding_index"]), None
-    start = 0 if base is None else base + 1
-    numbered = fresh.withColumn("id", F.monotonically_increasing_id() + start)
+    numbered = densely_numbered(fresh, 0 if base is None else base + 1)
     conform(numbered, FINDINGS).write.mode("append").partitionBy("module_name").parquet(path)
 
 
+def densely_numbered(rows: DataFrame, start: int) -> DataFrame:
+    """Set `id` to consecutive numbers from `start` on. Rows are written with the number of their part and their place
+    in it; the parts before it, one row each, say where a part begins."""
+    placed = stage(rows.withColumn("id", F.monotonically_increasing_id()), "fresh-findings")
+    part = F.shiftright("id", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(part.alias("part")).count().select(
+        "part", (F.coalesce(F.sum("count").over(before), F.lit(0)) + start).alias("first"))
+    return placed.join(F.broadcast(parts), part == F.col("part")).withColumn(
+        "id", F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first")
+
+
+def without_all(findings: DataFrame) -> DataFrame:
+    """Drop every finding."""
+    return findings.limit(0)
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many findings a deletion took away, as one row (n_removed)."""
+    counted = before.select(F.lit(1).alias("n")).union(after.select(F.lit(-1).alias("n")))
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_removed"))
+
+
 def retained(findings: DataFrame, now: Column, days: int) -> DataFrame:
     """Drop findings older than `days`; zero or less keeps all."""
     if days <= 0:

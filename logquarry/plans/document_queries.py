@@ -49,13 +49,14 @@ pieces AS (SELECT file_path, i, CASE WHEN i < 0 THEN text ELSE array_to_string(w
   AS content, CASE WHEN i < 0 THEN len(ws) ELSE len(ws[i * 360 + 1 : i * 360 + 400]) END AS word_count FROM cut)
 SELECT file_path, CASE WHEN i > 0 THEN concat('Doc (part ', i + 1, ')') ELSE 'Doc' END AS heading,
   CASE WHEN i >= 0 THEN i + 1 END AS part, content, word_count, length(content) AS char_count,
-  '.log' AS file_extension FROM pieces""")
+  '.log' AS file_extension, concat('r:', split_part(file_path, '/', 2), ':', md5(content), CASE WHEN i >= 0
+  THEN concat('_', i) ELSE '' END) AS chunk_id FROM pieces""")
 def doc_word_windows(spark, folder):
     chunks = documents.to_chunks(documents.word_windows(whole_documents(spark, folder)))
     return chunks.select(
         "file_path", "heading", F.col("metadata.part").cast("long").alias("part"), "content",
         F.col("metadata.word_count").cast("long").alias("word_count"),
-        F.col("metadata.char_count").cast("long").alias("char_count"), "metadata.file_extension")
+        F.col("metadata.char_count").cast("long").alias("char_count"), "metadata.file_extension", "chunk_id")
 
 
 @query("doc_paragraph_pack", f"""WITH RECURSIVE {LOGS},
@@ -262,12 +263,21 @@ def delete_repo(spark, folder):
     return knowledge.without_repo(vector_chunks(spark, folder), "4").select("chunk_id", "repo_id")
 
 
-@query("embed_hash")
+@query("embed_hash", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),
+  '[^\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS word FROM documents),
+b AS (SELECT doc_id, CAST(concat('0x', md5(word)[1:8]) AS BIGINT) % 64 AS bucket, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT doc_id, count(*) AS n_buckets, min(bucket) FILTER (n = most) + 1 AS largest,
+  round(max(n) / sqrt(sum(n * n)), 4) AS most FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS most FROM b) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_buckets, 0) AS n_buckets, coalesce(largest, 1) AS largest, coalesce(most, 0) AS most,
+  CASE WHEN n_buckets > 0 THEN 1.0::DOUBLE ELSE 0 END AS length FROM documents LEFT JOIN v USING (doc_id)""")
 def embed_hash(spark, folder):
-    chunks = documents.to_chunks(documents.word_windows(whole_documents(spark, folder)))
-    vectors = documents.embed(chunks, size=64)
-    length = F.sqrt(retrieval.inner_product(F.col("embedding"), F.col("embedding")))
-    return vectors.select("chunk_id", F.round(length, 4).alias("length"), F.xxhash64("embedding").alias("vector_hash"))
+    vectors = documents.embed(table(spark, folder, "documents").select("doc_id", "text"), text="text", size=64)
+    vector = F.col("embedding")
+    length = F.sqrt(retrieval.inner_product(vector, vector))
+    return vectors.select(
+        "doc_id", F.size(F.filter(vector, lambda x: x > 0)).cast("long").alias("n_buckets"),
+        F.array_position(vector, F.array_max(vector)).alias("largest"),
+        F.round(F.array_max(vector).cast("double"), 4).alias("most"), F.round(length, 4).alias("length"))
 
 
 @query("unit_vectors", """SELECT vec_id, round(list_sum([v * v FOR v IN CAST(embedding AS DOUBLE[])]), 4) AS norm,

@@ -23,10 +23,9 @@ def log_page(spark, folder):
 
 
 VIEW = f"""{LICENSE_FINDINGS}, {PAGE},
-numbered AS (SELECT *, doc_id * 100000 + finding_index AS id, row_number() OVER (PARTITION BY file_path
-  ORDER BY doc_id * 100000 + finding_index DESC) AS nth FROM findings),
+numbered AS (SELECT *, doc_id * 4294967296 + finding_index AS id FROM findings),
 newest AS (SELECT file_path, line_start AS line_no, max(id) AS id, arg_max(severity, id) AS severity,
-  arg_max(message, id) AS message FROM numbered WHERE nth <= 50 GROUP BY 1, 2),
+  arg_max(message, id) AS message FROM numbered GROUP BY 1, 2),
 view_ AS (SELECT coalesce(s.file_path, n.file_path) AS file_path, coalesce(s.line_no, n.line_no) AS line_no,
   coalesce(substr(s.line, 1, 4000), l.line) AS text, s.line_no IS NOT NULL AS on_page, id, severity, message
   FROM shown s FULL JOIN newest n ON n.file_path = s.file_path AND n.line_no = s.line_no
@@ -37,7 +36,7 @@ def view(spark, folder):
     text = lines(spark, folder)
     doc = F.regexp_extract("file_path", r"/(\d+)\.log$", 1).cast("long")
     found = license_findings(spark, folder).withColumns(
-        {"module_name": F.col("file_path"), "id": doc * 100000 + F.col("finding_index")})
+        {"module_name": F.col("file_path"), "id": doc * (1 << 32) + F.col("finding_index")})
     shown = explore.page(text, limit=3, offset=1)
     return explore.log_view(shown, found, text, list(LICENSES.errors + LICENSES.warnings))
 

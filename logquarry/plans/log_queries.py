@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import text_lines
 from logquarry.operators.classify import find_in_lines, find_in_texts
 from logquarry.operators.grouping import chunk_lines, chunk_table
 from logquarry.operators.rules import route
+from logquarry.plans.analyze import analyze
 from logquarry.plans.registry import LOGS, query
 from logquarry.sources.tables import document_bodies, document_logs, table
 from logquarry.sources import sinks
 from logquarry.sources.text_logs import explode_texts, scan_text
-from logquarry.spec import Grouping, RuleSet
+from logquarry.spec import Grouping, ModelGate, Module, RuleSet
 from logquarry.staging import new_folder
 
 LICENSES = RuleSet("licenses", errors=(r"licensed? under", r"license"), warnings=(r"\b[a-z]*sh\b",),
@@ -238,3 +241,28 @@ def text_scan(spark, folder):
     return scanned.groupBy(F.col("log").alias("file_path")).agg(
         F.count("*").alias("n_lines"), (F.min("shift") == F.max("shift")).alias("in_order"),
         F.sum(F.length("text")).alias("n_chars"))
+
+
+# The batch run: logs as files below folders whose names hold a blank; each folder has its rule set, found by its path.
+MAIL, WEB = "mail logs", "web logs"
+
+
+@query("batch_run", f"""WITH {LICENSE_FINDINGS}, d AS (SELECT *, doc_id % 3 = 0 AS mail FROM findings),
+kept AS (SELECT * FROM d WHERE mail OR severity = 'ERROR')
+SELECT doc_id, CASE WHEN mail THEN 'mail' ELSE 'web' END AS pipeline_name, severity, message, line_start, line AS excerpt,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY finding_index) - 1 AS BIGINT) AS finding_index,
+  severity = 'ERROR' AS needs_llm, true AS dated FROM kept""")
+def batch_run(spark, folder):
+    """Texts are written as one file per log, then scanned, routed by anchored patterns, classified and gated."""
+    target = new_folder(spark, "batch logs").removeprefix("file:")
+    docs = table(spark, folder, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, MAIL).otherwise(WEB).alias("kind"), F.col("doc_id").alias("log"), "text")
+    docs.write.partitionBy("kind", "log").text(target)
+    root = "^" + re.escape(target)
+    sets = [RuleSet("web", f"{root}/kind={WEB}/", errors=LICENSES.errors, ignores=LICENSES.ignores),
+            RuleSet("mail", f"{root}/kind={MAIL}/", errors=LICENSES.errors, warnings=LICENSES.warnings, ignores=LICENSES.ignores)]
+    module = Module("all", target, gate=ModelGate(enabled=True, min_severity="ERROR"))
+    return analyze(spark, [target], sets, module).select(
+        F.regexp_extract("file_path", r"/log=(\d+)/", 1).cast("long").alias("doc_id"), "pipeline_name", "severity", "message",
+        F.col("line_start").cast("long").alias("line_start"), F.get("excerpt", F.lit(0)).alias("excerpt"),
+        F.col("finding_index").cast("long").alias("finding_index"), "needs_llm", F.col("created_at").isNotNull().alias("dated"))

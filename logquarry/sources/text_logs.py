@@ -11,18 +11,29 @@ from logquarry.functions.text import split_lines
 from logquarry.schema import FINDINGS, LINES, conform
 from logquarry.staging import ROWS_TO_BROADCAST, path_exists, stage
 
+
+def plain_path(path: Column, encoded: bool = True) -> Column:
+    """A file's path as a user writes it: without the scheme of local files, and without escapes."""
+    if encoded:
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def scan_text(spark: SparkSession, paths: list[str], module: str | None = None) -> DataFrame:
-    """Numbered lines of text files or folders (walked recursively); bad bytes become U+FFFD.
+    """Numbered lines of text files or folders (walked recursively); bad bytes become U+FFFD."""
+    return scan(spark, paths, module)[0]
+
+
+def scan(spark: SparkSession, paths: list[str], module: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Numbered lines, and the (file_path) that gave any. A file that cannot be read gives none and stops nothing.
 
     Files are read in splits. Each row knows its split and its running id there, so the number of a line is the number
     of lines in earlier splits plus its distance from the first id of its own split. Only the small table of splits is
-    aggregated; the text itself is not shuffled.
+    aggregated; the text itself is not shuffled. Both passes must cut the files alike: where executors come and go,
+    `spark.sql.files.minPartitionNum` fixes the cut, and a different one ends the query instead of misnumbering lines.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        # Both passes over the files must cut them alike, also when executors come and go in between.
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     raw = (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
+        spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(paths)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("split_start"),
@@ -44,14 +55,15 @@ def scan_text(spark: SparkSession, paths: list[str], module: str | None = None)
     line_no = F.when(
         (distance >= 0) & (distance < F.col("n_lines")), F.col("lines_before") + distance + 1
     ).otherwise(F.raise_error(F.lit("files were split differently between two passes")).cast("long"))
-    return raw.join(starts, ["file_path", "split_start"], "left").select(
-        "file_path",
+    lines = raw.join(starts, ["file_path", "split_start"], "left").select(
+        plain_path(F.col("file_path")).alias("file_path"),
         F.lit(module).cast("string").alias("module"),
         F.lit(None).cast("string").alias("pipeline"),
         F.col("mtime").cast("timestamp").alias("mtime"),
         line_no.alias("line_no"),
         F.make_valid_utf8("value").alias("line"),
     )
+    return lines, splits.select(plain_path(F.col("file_path")).alias("file_path")).distinct()
 
 
 def explode_texts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -81,17 +93,17 @@ def listed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every non-empty file below the paths with its size; contents are not read."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        .select(F.col("path").alias("file_path"), F.col("length"),
+        .select(plain_path(F.col("path"), encoded=False).alias("file_path"), F.col("length"),
                 F.col("modificationTime").cast("timestamp").alias("mtime"))
     )
 
 
-def unreadable_file_findings(files: DataFrame, lines: DataFrame, pipeline: str, reason: str = "unreadable") -> DataFrame:
-    """One ERROR finding per non-empty file that gave no line (read with `ignoreCorruptFiles` on)."""
-    silent = files.where(F.col("length") > 0).join(lines.select("file_path").distinct(), "file_path", "left_anti")
+def unreadable_file_findings(files: DataFrame, read: DataFrame, pipeline: Column, reason: str = "unreadable") -> DataFrame:
+    """One ERROR finding per non-empty file that is not among those read; `pipeline` is its rule set by its path."""
+    silent = files.where(F.col("length") > 0).join(read.select("file_path"), "file_path", "left_anti")
     return conform(
         silent.select(
-            F.lit(pipeline).alias("pipeline_name"),
+            pipeline.alias("pipeline_name"),
             "file_path",
             F.lit(0).alias("finding_index"),
             F.lit("ERROR").alias("severity"),
@@ -101,6 +113,7 @@ def unreadable_file_findings(files: DataFrame, lines: DataFrame, pipeline: str,
             F.array().cast("array<string>").alias("excerpt"),
             F.lit(False).alias("needs_llm"),
             F.lit(False).alias("anomaly_flag"),
+            F.col("mtime").alias("created_at"),
         ),
         FINDINGS,
     )
@@ -146,7 +159,7 @@ def scan_documentation(
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "{" + names + "}").load(root)
-        .select(F.regexp_replace("path", r"^\w+:/+", "/").alias("path"), "content")
+        .select(plain_path(F.col("path"), encoded=False).alias("path"), "content")
         .where(glob_test(relative, patterns) & ~relative.rlike(r"(?:^|/)\."))
         .select(
             F.lit(repo_id).alias("repo_id"),

@@ -19,6 +19,7 @@ from logquarry.operators.classify import find_in_texts
 from logquarry.operators.payloads import alert_records, needs_model, with_payload
 from logquarry.operators.rules import hit_count, is_hit, pick
 from logquarry.operators.store import IDENTITY, append
+from logquarry.sources.text_logs import plain_path
 from logquarry.schema import FINDINGS, conform
 from logquarry.spec import Module, RuleSet
 from logquarry.staging import stage
@@ -40,7 +41,7 @@ def text_segments(spark: SparkSession, folder: str, pipeline: str, max_files: in
     reader = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    path = F.col("_metadata.file_path")
+    path = plain_path(F.col("_metadata.file_path"))
     where = r"([^/]+)/(\d+)/(\d+)\.[^/]*$"
     return reader.text(folder).select(
         F.regexp_extract(path, where, 1).alias("module"),

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import time
 
 import pytest
@@ -51,11 +52,31 @@ def test_missing_and_unreadable(spark, folder):
     files = listed_files(spark, found)
     assert files.count() == 3
     lines = scan_text(spark, found).where(~F.col("file_path").contains("small.log"))
-    rows = unreadable_file_findings(files, lines, "p").collect()
+    rows = unreadable_file_findings(files, lines.select("file_path").distinct(), F.lit("p")).collect()
     assert [(os.path.basename(r.file_path), r.severity, r.line_start, r.excerpt) for r in rows] == [
         ("small.log", "ERROR", 1, [])]
 
 
+def test_paths_with_blanks_and_a_broken_file(spark, tmp_path):
+    """Anchored file patterns see the plain path; a file that cannot be read is one finding of its own rule set."""
+    folder = tmp_path / "my logs+100%"
+    (folder / "a").mkdir(parents=True)
+    (folder / "b").mkdir()
+    (folder / "a" / "x y.log").write_text("error 1\nfine\n")
+    (folder / "b" / "z.log").write_text("fine\nerror 2\n")
+    (folder / "b" / "broken.gz").write_bytes(b"this is not compressed")
+    sets = [RuleSet("first", "no such file", errors=("nothing",)), RuleSet("a", f"^{re.escape(str(folder))}/a/", errors=("error",)),
+            RuleSet("b", f"^{re.escape(str(folder))}/b/", errors=("error",))]
+    rows = analyze(spark, [str(folder)], sets, Module("m", str(folder))).collect()
+    assert sorted((r.pipeline_name, r.file_path, r.line_start, r.message.split(":")[0][:19]) for r in rows) == [
+        ("a", str(folder / "a" / "x y.log"), 1, "Matched error patte"), ("b", str(folder / "b" / "broken.gz"), 1, "failed to read file"),
+        ("b", str(folder / "b" / "z.log"), 2, "Matched error patte")]
+    named = analyze(spark, [str(folder)], sets, Module("m", str(folder), pipeline="b")).collect()
+    assert {r.pipeline_name for r in named} == {"b"} and len(named) == 3
+    with pytest.raises(ValueError):
+        analyze(spark, [str(folder)], sets, Module("m", str(folder), pipeline="c"))
+
+
 def test_batch_run_to_sinks(spark, folder, tmp_path):
     os.utime(folder / "sub" / "small.log", (1_700_000_000, 1_700_000_000))
     gate = ModelGate(enabled=True, min_severity="ERROR", context_suffix_lines=1)
@@ -87,6 +108,10 @@ def test_batch_run_to_sinks(spark, folder, tmp_path):
     store.append(found, path)
     stored = store.read(spark, path, ["m"])
     assert stored.count() == 3 and stored.select("id").distinct().count() == 3
+    store.append(found.withColumn("message", F.concat("message", F.lit(" again"))).repartition(3), path)
+    assert sorted(r.id for r in store.read(spark, path).collect()) == list(range(6))
+    everything = store.read(spark, path)
+    assert store.removed(everything, store.without_all(everything)).first().n_removed == 6
 
 
 def test_nothing_to_read(spark, tmp_path):
