@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.text import text_lines
+from logquarry.operators import store
 from logquarry.plans.log_queries import LICENSE_FINDINGS, LICENSES, context_sql
 from logquarry.plans.registry import FOUND, LOGS, query
 from logquarry.sources.tables import document_bodies, event_findings
@@ -16,76 +17,100 @@ PIECES = 3
 
 
 def land_documents(spark, folder):
-    """Every document as a log that arrives in three segments, one delivery after the other."""
+    """Every document as a log that arrives in three segments, one delivery after the other; many logs share a module.
+
+    Every fifth log was written anew after its second segment: the third is the first of its second generation.
+    """
     bodies = document_bodies(spark, folder)
     size = F.greatest(F.lit(1), F.ceil(F.size("body") / PIECES).cast("int"))
     segment = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.struct(
         i.cast("long").alias("segment"), F.slice("body", i * size + 1, size).alias("part")))
-    rows = unfold(bodies, ["file_path", "pipeline", "mtime"], segment, "s").where(F.size("s.part") > 0)
+    rows = unfold(bodies, ["doc_id", "file_path", "pipeline", "mtime"], segment, "s").where(F.size("s.part") > 0)
     segments = rows.select(
-        F.col("file_path").alias("module"), "file_path", "pipeline", F.lit(0).cast("long").alias("generation"),
+        F.concat(F.lit("m"), F.col("doc_id") % 7).alias("module"), "file_path", "pipeline",
+        ((F.col("doc_id") % 5 == 0) & (F.col("s.segment") == 2)).cast("long").alias("generation"),
         "s.segment", F.col("mtime").alias("arrived"), F.array_join("s.part", "\n").alias("text"))
-    landing = new_folder(spark, "landing")
-    for i in range(PIECES):
-        segments.where(F.col("segment") == i).coalesce(2).write.mode("append").parquet(landing)
-    return follow.table_segments(spark, landing, max_files=2)
+    return follow.table_segments(spark, *landed(segments, F.col("segment"), PIECES))
+
+
+def landed(rows, piece, pieces):
+    """A landing folder that the pieces came to one after the other, and the files of an average piece."""
+    landing = new_folder(rows.sparkSession, "landing")
+    for i in range(pieces):
+        rows.where(piece == i).write.mode("append").parquet(landing)
+    return landing, max(1, len(rows.sparkSession.read.parquet(landing).inputFiles()) // pieces)
 
 
 def finished(spark, stream, mode="append"):
     return follow.run_available(stream, new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint"), mode)
 
 
-@query("stream_findings", f"""WITH {LICENSE_FINDINGS}
-SELECT file_path, finding_index, severity, message, line_start, rule_id FROM findings""")
+# Line numbers of a second generation start again.
+AGAIN = """sized AS (SELECT file_path, doc_id, max(line_no) AS n FROM lines GROUP BY 1, 2),
+turned AS (SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 2 * greatest(1, CAST(ceil(n / 3) AS BIGINT)) ELSE n END AS n FROM sized)"""
+
+
+@query("stream_findings", f"""WITH {LICENSE_FINDINGS}, {AGAIN}
+SELECT file_path, severity, message, line_start - CASE WHEN line_start > n THEN n ELSE 0 END AS line_start, rule_id, true AS distinct_index
+FROM findings JOIN turned USING (file_path)""")
 def stream_findings(spark, folder):
     found = follow.follow(land_documents(spark, folder), [LICENSES])
-    return finished(spark, found).select(
-        "file_path", "finding_index", "severity", "message", "line_start", "rule_id")
+    rows = finished(spark, found)
+    # Finding numbers of a module go on from log to log: each is given once.
+    again = rows.groupBy("module_name", "finding_index").agg(F.count(F.lit(1)).alias("given"))
+    return rows.join(again, ["module_name", "finding_index"]).select(
+        "file_path", "severity", "message", "line_start", "rule_id", (F.col("given") == 1).alias("distinct_index"))
 
 
-@query("stream_carried_context", f"""WITH {LICENSE_FINDINGS}, {context_sql(2, 0)}
-SELECT f.file_path, finding_index, excerpt FROM findings f
-JOIN context c ON c.file_path = f.file_path AND c.line_no = f.line_start""")
+@query("stream_carried_context", f"""WITH {LICENSE_FINDINGS}, {AGAIN}, {context_sql(2, 0)}
+SELECT f.file_path, line_start - CASE WHEN line_start > n THEN n ELSE 0 END AS line_start, f.rule_id, f.message, excerpt
+FROM findings f JOIN turned USING (file_path) JOIN context c ON c.file_path = f.file_path AND c.line_no = f.line_start""")
 def stream_carried_context(spark, folder):
     found = follow.follow(land_documents(spark, folder), [LICENSES], prefix=2)
-    return finished(spark, found).select("file_path", "finding_index", text_lines(F.col("excerpt")).alias("excerpt"))
+    return finished(spark, found).select(
+        "file_path", "line_start", "rule_id", "message", text_lines(F.col("excerpt")).alias("excerpt"))
 
 
-@query("stream_numbering", f"""WITH {LOGS}, sized AS (SELECT file_path, max(line_no) AS n FROM lines GROUP BY 1),
-pieces AS (SELECT file_path, n, unnest([0, 1, 2]) AS segment, greatest(1, CAST(ceil(n / 3) AS BIGINT)) AS size FROM sized)
-SELECT file_path, CAST(segment AS BIGINT) AS segment, CAST(segment * size + 1 AS BIGINT) AS start_line FROM pieces
-WHERE segment * size < n""")
+@query("stream_numbering", f"""WITH {LOGS}, {AGAIN},
+pieces AS (SELECT file_path, doc_id, n, unnest([0, 1, 2]) AS segment, greatest(1, CAST(ceil(n / 3) AS BIGINT)) AS size FROM sized)
+SELECT file_path, CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN doc_id % 5 = 0 AND segment = 2 THEN 1
+  ELSE segment * size + 1 END AS BIGINT) AS start_line FROM pieces WHERE segment * size < n""")
 def stream_numbering(spark, folder):
     numbered = follow.numbered_segments(land_documents(spark, folder), [LICENSES])
     return finished(spark, numbered).select("file_path", "segment", "start_line")
 
 
 def landed_events(spark, folder):
+    """Findings that arrive in four pieces, in the order of their times."""
     rows = event_findings(spark, folder)
-    landing = new_folder(spark, "landing")
-    rows.repartitionByRange(4, "created_at").write.parquet(landing)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "4").parquet(landing)
+    span = rows.agg(F.min("created_at").alias("first"), F.max("created_at").alias("last")).first()
+    width = (span["last"] - span["first"]).total_seconds() / 4 + 1 if span["first"] else 1
+    start = F.unix_timestamp(F.lit(span["first"]).cast("timestamp"))
+    landing, files = landed(rows, F.floor((F.unix_timestamp("created_at") - start) / width), 4)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(files)).parquet(landing)
 
 
 @query("stream_stats", f"""WITH {FOUND}, starts AS (SELECT s.*, date_trunc('hour', created_at) - (INTERVAL 1 HOUR) * h AS begins
   FROM stored s, range(0, 24) t(h))
 SELECT module_name, epoch_us(begins) AS begins, count(*) FILTER (upper(severity) IN ('ERROR', 'CRITICAL')) AS errors,
-  count(*) FILTER (upper(severity) = 'WARNING') AS warnings, epoch_us(max(created_at)) AS last_log_update
+  count(*) FILTER (upper(severity) = 'WARNING') AS warnings, epoch_us(max(created_at)) AS last_log_update,
+  last(severity ORDER BY created_at, id) AS last_severity
 FROM starts GROUP BY 1, 2""")
 def stream_stats(spark, folder):
-    rolling = follow.rolling_stats(landed_events(spark, folder), delay="60 days")
-    name = "rolling_" + new_folder(spark, "x").rsplit("-", 1)[-1]
-    started = (rolling.writeStream.format("memory").queryName(name).outputMode("complete")
-               .option("checkpointLocation", new_folder(spark, "stream-checkpoint")).trigger(availableNow=True).start())
-    started.awaitTermination()
-    return spark.table(name).select(
+    rolling = follow.rolling_stats(landed_events(spark, folder))
+    rows = follow.run_updates(rolling, ["module_name", "window"], new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint"))
+    return rows.select(
         "module_name", F.unix_micros("window.start").alias("begins"), "errors", "warnings",
-        F.unix_micros("last_log_update").alias("last_log_update"))
+        F.unix_micros("last_log_update").alias("last_log_update"), "last_severity")
 
 
 @query("stream_dedupe", f"""WITH {FOUND} SELECT module_name, file_path, line_start, message, severity, count(*) > 0 AS kept
 FROM stored GROUP BY 1, 2, 3, 4, 5""")
 def stream_dedupe(spark, folder):
-    kept = follow.first_sightings(landed_events(spark, folder), delay="60 days")
-    return finished(spark, kept).select(
+    """Repeats within an hour are dropped from the stream, later ones by the store that each batch is added to."""
+    kept = follow.first_sightings(landed_events(spark, folder), delay="1 hour")
+    path = new_folder(spark, "store")
+    (kept.writeStream.foreachBatch(lambda batch, _: store.append(batch, path)).trigger(availableNow=True)
+     .option("checkpointLocation", new_folder(spark, "stream-checkpoint")).start().awaitTermination())
+    return store.read(spark, path).select(
         "module_name", "file_path", "line_start", "message", "severity", F.lit(True).alias("kept"))

@@ -2,12 +2,13 @@
 
 A collector delivers closed segments of each log: text files in a landing folder, or rows of a landing table. A segment
 is one arrival. Its lines are numbered after those before it, its first findings may quote the last lines before it, and
-finding numbers go on per module. That is all the state there is, one small record per log. Classifying a segment is a
+finding numbers go on per module. That is all the state there is, one small entry per log and generation. Classifying a segment is a
 projection of its own row.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,33 +62,41 @@ def table_segments(spark: SparkSession, folder: str, max_files: int | None = Non
     return reader.parquet(folder)
 
 
-STATE = "generation long, next_line long, next_index long, carried array<string>"
+# Per module: the next finding number, and as JSON the place of each log that is being followed.
+STATE = "next_index long, logs string"
+# Generations of one log that are remembered; a late segment of an older one starts at line 1.
+GENERATIONS = 2
 
 
 def numbering(prefix: int):
-    """Line numbers, finding numbers and carried lines of one log, kept from batch to batch.
+    """Line numbers and carried lines of each log and generation, and finding numbers of the module, from batch to batch.
 
-    Only counts and the last few lines of a segment are looked at; its text passes through.
+    Only counts and the last few lines of a segment are looked at; its text passes through. The state holds a few
+    numbers and `prefix` lines for the latest generations of each log.
     """
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = [row for batch in batches for row in batch.itertuples(index=False)]
-        rows.sort(key=lambda row: (row.generation, row.segment))
-        if state.exists:
-            generation, next_line, next_index, carried = state.get
-        else:
-            generation, next_line, next_index, carried = -1, 1, int(rows[0].seed), []
-        carried, out = list(carried), []
+        rows.sort(key=lambda row: (row.file_path, row.generation, row.segment))
+        next_index, known = state.get if state.exists else (int(rows[0].seed), "{}")
+        logs, out = json.loads(known), []
         for row in rows:
-            if row.generation != generation:
-                generation, next_line = row.generation, 1
+            generations = logs.setdefault(row.file_path, {})
+            name = str(row.generation)
+            if name not in generations:
+                # A new generation quotes the last lines of the one before it.
+                before = max((int(g) for g in generations if int(g) < row.generation), default=None)
+                generations[name] = [1, [] if before is None else generations[str(before)][1]]
+            next_line, carried = generations[name]
             out.append((row.module, row.file_path, row.pipeline, row.generation, row.segment, row.arrived, next_line,
                         next_index, carried, row.text, row.fresh))
-            next_line += row.n_lines
             if row.fresh:
                 next_index += row.n_hits
                 if prefix > 0:
                     carried = (carried + list(row.final_lines))[-prefix:]
-        state.update((int(generation), int(next_line), int(next_index), carried))
+            generations[name] = [int(next_line + row.n_lines), carried]
+            for old in sorted(generations, key=int)[:-GENERATIONS]:
+                del generations[old]
+        state.update((int(next_index), json.dumps(logs)))
         yield pd.DataFrame(out, columns=OUT_COLUMNS)
 
     return run
@@ -136,13 +145,14 @@ def first_sightings(findings: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def rolling_stats(findings: DataFrame, delay: str = "1 hour", width: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """Errors and warnings per module in sliding windows."""
+    """Errors and warnings per module in sliding windows, and the severity of the newest finding, the higher id first."""
     upper = F.upper("severity")
     return (
         findings.withWatermark("created_at", delay)
         .groupBy(F.window("created_at", width, step), "module_name")
         .agg(F.count_if(upper.isin("ERROR", "CRITICAL")).alias("errors"),
              F.count_if(upper == "WARNING").alias("warnings"),
+             F.max_by("severity", F.struct("created_at", "id")).alias("last_severity"),
              F.max("created_at").alias("last_log_update"))
     )
 
@@ -167,6 +177,22 @@ def deliver(module: Module, store_path: str, payload_path: str | None = None, al
     return run
 
 
+def run_updates(stream: DataFrame, keys: list[str], output: str, checkpoint: str) -> DataFrame:
+    """Process what has arrived, write what changes in each batch, and read back the latest state of every key.
+
+    State of windows that the watermark has passed is dropped; their last row stays in the table.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/part={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    written = stream.sparkSession.read.parquet(output)
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("latest"))
+    return latest.select(*keys, "latest.*")
+
+
 def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what has arrived, write it as a table and read that back."""
     spark = stream.sparkSession

@@ -75,3 +75,20 @@ def test_delivery_twice_stores_once(spark, tmp_path):
     assert [(r.line_start, r.severity, r.needs_llm) for r in stored] == [(1, "ERROR", True), (2, "WARNING", False)]
     assert spark.read.parquet(str(tmp_path / "payloads")).count() == 1
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 1
+
+
+def test_two_logs_of_one_module(spark, tmp_path):
+    """Each log and generation has its own line numbers and carried lines; finding numbers go on over the module."""
+    rows = [("m", "/a.log", "rules", 0, 0, ["a", "error 1"]), ("m", "/b.log", "rules", 0, 0, ["error 2", "b"]),
+            ("m", "/a.log", "rules", 0, 1, ["error 3"]), ("m", "/b.log", "rules", 1, 0, ["error 4"]),
+            ("m", "/b.log", "rules", 0, 1, ["error late"])]
+    landing = str(tmp_path / "landing")
+    for i, (module, path, pipeline, generation, segment, lines) in enumerate(rows):
+        spark.createDataFrame(
+            [(module, path, pipeline, generation, segment, datetime.datetime(2024, 1, 1, 0, i), "\n".join(lines) + "\n")], follow.SEGMENTS
+        ).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(0.02)
+    found = run(follow.follow(follow.table_segments(spark, landing, 1), RULES, prefix=1), tmp_path)
+    assert sorted((r.finding_index, r.file_path, r.line_start, tuple(r.excerpt)) for r in found.collect()) == [
+        (0, "/a.log", 2, ("a", "error 1")), (1, "/b.log", 1, ("error 2",)), (2, "/a.log", 3, ("error 1", "error 3")),
+        (3, "/b.log", 1, ("b", "error 4")), (4, "/b.log", 3, ("b", "error late"))]
