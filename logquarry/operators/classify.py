@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
-from logquarry.operators.grouping import has_mark, needs_placing, place, with_marks
+from logquarry.operators.grouping import grouping_kind, has_mark, needs_placing, place, starts_run, with_marks
 from logquarry.operators.ordered import BLOCK_BITS, along
 from logquarry.operators.prefilter import possibly_in
 from logquarry.operators.rules import HIT_TYPE, hits, is_hit, message, pick, rules_in_order
 from logquarry.schema import SEVERITY_RANK
 from logquarry.spec import RuleSet
-from logquarry.staging import ROWS_TO_BROADCAST, stage
+from logquarry.staging import ROWS_TO_BROADCAST, broadcast_if_small, stage
 
 IDS = ["file_path", "module", "pipeline", "mtime"]
 
@@ -32,7 +32,16 @@ def matched_lines(lines: DataFrame, rule_sets: list[RuleSet], *, staged: bool =
     line = F.col("line")
     hit = pick(rule_sets, lambda r: is_hit(line, r))
     found = F.when(hit, pick(rule_sets, lambda r: hits(line, r))).otherwise(F.array().cast(f"array<{HIT_TYPE}>"))
-    if any(needs_placing(r) for r in rule_sets):
+    if any(needs_placing(r) for r in rule_sets) and all(grouping_kind(r) == "whole_file" for r in rule_sets):
+        # One chunk per file: the last run begins at the greatest marker, one row per file. Only what follows is matched.
+        kept = last_runs(lines, rule_sets).where(hit).withColumn("hits", pick(rule_sets, lambda r: hits(line, r)))
+        rows = kept.withColumns({
+            "chunk_no": F.lit(0).cast("long"), "chunk_start": F.lit(1).cast("long"),
+            "segment_start": F.coalesce("run_start", F.lit(1)).cast("long"), "stop": F.lit(None).cast("long"),
+            "line_start": F.col("line_no")}).drop("run_start")
+        if staged:
+            rows = stage(rows, "placed")
+    elif any(needs_placing(r) for r in rule_sets):
         marked = with_marks(lines, rule_sets)
         notes = marked.where(has_mark() | hit).withColumn("hits", found)
         if staged:
@@ -51,6 +60,15 @@ def matched_lines(lines: DataFrame, rule_sets: list[RuleSet], *, staged: bool =
     return rows
 
 
+def last_runs(lines: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
+    """Lines from the last run marker of their file on, with its number as run_start; all lines where there is none or
+    the rule set counts every run."""
+    begins = lines.where(pick(rule_sets, lambda r: starts_run(F.col("line"), r))).groupBy(
+        F.col("file_path").alias("marked_file")).agg(F.max("line_no").alias("run_start"))
+    joined = lines.join(broadcast_if_small(stage(begins, "runs")), F.col("file_path") == F.col("marked_file"), "left")
+    return joined.drop("marked_file").where(F.col("line_no") >= F.coalesce("run_start", F.lit(1)))
+
+
 def with_first_index(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Add the index of a line's first finding: the number of findings before it in its file."""
     n_hits = F.element_at("hits", -1)["skipped"] + F.size(F.element_at("hits", -1)["texts"])
