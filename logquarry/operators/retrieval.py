@@ -45,7 +45,8 @@ def query_parts(message: Column, excerpt: Column, pipeline: Column) -> Column:
     def optional(value: Column) -> Column:
         return F.when(F.length(value) > 0, F.array(value)).otherwise(F.array().cast("array<string>"))
 
-    found = [find_all(text, p, ignore_case=True) for p in EXCEPTION_PATTERNS]
+    # What the named exceptions match has been found by the two patterns before them; distinct parts lose nothing.
+    found = [find_all(text, p, ignore_case=True) for p in EXCEPTION_PATTERNS[:2]]
     found += [find_all(text, p) for p in FILE_PATTERNS]
     found += [find_all(text, p, ignore_case=True) for p in DOMAIN_PATTERNS]
     words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in KEYWORDS]))

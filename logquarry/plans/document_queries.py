@@ -8,6 +8,8 @@ from logquarry.functions.text import base_name, split_lines, suffix
 from logquarry.operators import documents, knowledge, payloads, retrieval
 from logquarry.plans.registry import LOGS, query
 from logquarry.sources.tables import document_logs, spread, table
+from logquarry.sources.text_logs import scan_documentation
+from logquarry.staging import new_folder
 
 # Every seventh line becomes a heading, of one to five marks.
 MARKDOWN = f"""{LOGS}, md AS (SELECT file_path, line_no, CASE WHEN line_no % 7 = 3
@@ -86,8 +88,8 @@ def doc_paragraph_pack(spark, folder):
 
 
 @query("retrieval_query_text", """WITH p AS (SELECT page_id, html AS t FROM pages),
-found AS (SELECT page_id, list_distinct(list_concat(
-  regexp_extract_all(t, '(?i)\\b\\w+Error\\b'), regexp_extract_all(t, '(?i)\\b\\w+Exception\\b'),
+found AS (SELECT page_id, list_concat(['page'],
+  regexp_extract_all(t, '(?i)\\b\\w+Exception\\b'), regexp_extract_all(t, '(?i)\\b\\w+Error\\b'),
   regexp_extract_all(t, '\\b\\w+\\.py\\b'), regexp_extract_all(t, '\\b\\w+\\.js\\b'), regexp_extract_all(t, '\\b\\w+\\.php\\b'),
   regexp_extract_all(t, '\\bmodules/\\w+\\b'), regexp_extract_all(t, '\\bcomponents/\\w+\\b'),
   regexp_extract_all(t, '\\bservices/\\w+\\b'), regexp_extract_all(t, '(?i)\\b\\w+integration\\b'),
@@ -95,12 +97,24 @@ found AS (SELECT page_id, list_distinct(list_concat(
   regexp_extract_all(t, '(?i)\\b\\w+module\\b'), regexp_extract_all(t, '(?i)\\b\\w+component\\b'),
   [k FOR k IN ['connection', 'timeout', 'failed', 'denied', 'forbidden', 'unauthorized', 'certificate', 'ssl', 'tls',
    'database', 'authentication', 'permission', 'configuration', 'dependency'] IF contains(lower(t), k)],
-  ['page', 'web'])) AS parts FROM p)
-SELECT page_id, array_to_string(list_sort(parts), ' ') AS parts FROM found""")
+  ['web']) AS parts FROM p)
+SELECT page_id, array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ' ') AS parts FROM found""")
 def retrieval_query_text(spark, folder):
     pages = spread(table(spark, folder, "pages"), "page_id")
     parts = retrieval.query_parts(F.lit("page"), F.array("html"), F.lit("web"))
-    return pages.select("page_id", F.array_join(F.sort_array(parts), " ").alias("parts"))
+    return pages.select("page_id", F.array_join(parts, " ").alias("parts"))
+
+
+@query("doc_scan", """SELECT doc_id, 'r' AS repo_id, length(text) + 1 AS n_chars, md5(concat(text, chr(10))) AS content_md5
+FROM documents""")
+def doc_scan(spark, folder):
+    """Texts written as one file each and scanned as documentation; hidden files beside them are left out."""
+    target = new_folder(spark, "docs").removeprefix("file:")
+    table(spark, folder, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(target)
+    found = scan_documentation(spark, target, "r", "c", ["**/*.txt"])
+    return found.select(
+        F.regexp_extract("file_path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "repo_id",
+        F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 def vector_queries(spark, folder):

@@ -8,6 +8,7 @@ from logquarry.operators import stats, store
 from logquarry.plans.registry import FOUND, query
 from logquarry.sources.tables import event_findings, table
 from logquarry.spec import RuleSet
+from logquarry.staging import new_folder
 
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
@@ -33,6 +34,27 @@ def store_dedupe(spark, folder):
         "module_name", "file_path", "line_start", "message", "severity", "finding_index")
 
 
+@query("store_append", f"""WITH {FOUND}, firsts AS (SELECT DISTINCT module_name, file_path, line_start, line_end, message,
+  severity FROM stored) SELECT module_name, count(*) AS n_findings, (SELECT count(*) FROM firsts) AS n_ids,
+  0 AS first_id, (SELECT count(*) - 1 FROM firsts) AS last_id FROM firsts GROUP BY 1""")
+def store_append(spark, folder):
+    """Two overlapping batches are added to a table and read back: no finding twice, ids without a gap."""
+    rows = event_findings(spark, folder)
+    path = new_folder(spark, "store")
+    store.append(rows.where("created_at < TIMESTAMP '2024-01-20'"), path)
+    store.append(rows.where("created_at >= TIMESTAMP '2024-01-10'"), path)
+    stored = store.read(spark, path)
+    ids = stored.agg(F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return stored.groupBy("module_name").agg(F.count("*").alias("n_findings")).select(
+        "module_name", "n_findings", *[ids.select(c).scalar().alias(c) for c in ids.columns])
+
+
+@query("delete_all", f"WITH {FOUND} SELECT CAST(count(*) AS BIGINT) AS n_removed FROM stored")
+def delete_all(spark, folder):
+    rows = event_findings(spark, folder)
+    return store.removed(rows, store.without_all(rows))
+
+
 @query("batch_dedupe", f"""WITH {FOUND} SELECT module_name, severity, rule_id, min(finding_index) AS finding_index,
  count(*) AS copies FROM (SELECT module_name, severity, rule_id, finding_index, file_path FROM stored) GROUP BY 1, 2, 3""")
 def batch_dedupe(spark, folder):
