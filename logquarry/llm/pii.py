@@ -268,9 +268,8 @@ def learn(docs: DataFrame) -> dict[int, Model | None]:
 def find(docs: DataFrame, models: dict[int, Model | None], keep: list[str]) -> DataFrame:
     """The columns `keep`, `base` and `spans`: arrays of (start, kind, end) by start, then kind, in code points.
 
-    base holds the valid fixed matches; spans these and the loose candidates that the trees select, overlap no base
-    span and are not part of another selected one that starts earlier or is longer. A null or empty text has none.
-    Other columns are not read.
+    base holds the valid fixed matches; spans holds these and the loose candidates that the trees select and that
+    overlap no base span. A null or empty text has none. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(*keep, text.alias("__text")).select("*", base_spans(F.col("__text")).alias("__base"))
