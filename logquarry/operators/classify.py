@@ -17,11 +17,10 @@ from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
 from logquarry.operators.grouping import grouping_kind, has_mark, needs_placing, place, starts_run, with_marks
 from logquarry.operators.ordered import BLOCK_BITS, along
-from logquarry.operators.prefilter import possibly_in
 from logquarry.operators.rules import HIT_TYPE, hits, is_hit, message, pick, rules_in_order
 from logquarry.schema import SEVERITY_RANK
 from logquarry.spec import RuleSet
-from logquarry.staging import ROWS_TO_BROADCAST, broadcast_if_small, stage
+from logquarry.staging import broadcast_if_small, stage
 
 IDS = ["file_path", "module", "pipeline", "mtime"]
 
@@ -80,10 +79,10 @@ def with_excerpts(rows: DataFrame, matched: DataFrame, lines: DataFrame, prefix:
                   compat_prefix: bool = False, staged: bool = True) -> DataFrame:
     """Add to `rows` the excerpt: lines before, the match, lines after, cut to `limit` lines around the match.
 
-    `matched` are the same lines with their places. The wanted positions are joined to the lines on (file, line number), so the work follows the number of matches.
-    When they are too many to broadcast, lines that no position wants are sorted out by hash before the shuffle (`matched`
-    is staged, so counting it reads file footers only). Lines before the match that its chunk lacks are taken from in front of the chunk. `compat_prefix` repeats those
-    lines also where nothing is lacking.
+    `matched` are the same lines with their places. The wanted positions are joined to the lines on (file, line number),
+    so the work follows the number of matches; the planner sends few positions to the lines and shuffles many. Lines
+    before the match that its chunk lacks are taken from in front of the chunk. `compat_prefix` repeats those lines also
+    where nothing is lacking.
     """
     if prefix <= 0 and suffix <= 0:
         return rows.withColumn("excerpt", F.array("line"))
@@ -101,8 +100,6 @@ def with_excerpts(rows: DataFrame, matched: DataFrame, lines: DataFrame, prefix:
     wanted = unfold(matched, ["file_path", "line_no", (borrowed + at - first).cast("int").alias("match_slot")],
                     positions, "wanted_no", "slot")
     source = lines.select("file_path", F.col("line_no").alias("wanted_no"), F.col("line").alias("context_line"))
-    if staged and matched.count() > ROWS_TO_BROADCAST:
-        source = possibly_in(source, ["file_path", "wanted_no"], wanted)
     context = (
         wanted.join(source, ["file_path", "wanted_no"])
         .groupBy("file_path", "line_no")

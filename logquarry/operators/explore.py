@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import java
 from logquarry.functions.text import clip, regex_template, strip, text_lines
-from logquarry.operators.prefilter import only_wanted
 from logquarry.operators.stats import recent_findings
 from logquarry.schema import SEVERITY_RANK
-from logquarry.staging import broadcast_if_small, stage
+from logquarry.staging import broadcast_if_small, only_wanted, stage
 
 PAGE_LINES = 500
 PAGE_CHARS = 4000

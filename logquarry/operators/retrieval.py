@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
-from logquarry.operators.prefilter import only_wanted
-from logquarry.staging import broadcast_if_small, stage
+from logquarry.staging import broadcast_if_small, only_wanted, stage
 
 # What is taken from an excerpt into the query text, in this order.
 EXCEPTION_PATTERNS = (
@@ -146,7 +145,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, module_repos: DataFrame | No
     good = stage(hits.withColumn("similarity", shown).where(F.col("similarity") >= threshold), "hits")
     # Contents of chunks that nothing hit are not moved.
     hit_chunks = only_wanted(chunks.select("chunk_id", "repo_id", "heading", "content", "file_path"), ["chunk_id"], good)
-    texts = good.join(hit_chunks, "chunk_id")
+    # One shuffle by query serves both rankings.
+    texts = good.join(hit_chunks, "chunk_id").repartition("query_id")
     same = Window.partitionBy("query_id", "content").orderBy("rank")
     distinct = texts.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
     final = Window.partitionBy("query_id").orderBy("rank")

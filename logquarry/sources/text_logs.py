@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from logquarry.functions.arrays import unfold
 from logquarry.functions.text import split_lines
 from logquarry.schema import FINDINGS, LINES, conform
-from logquarry.staging import ROWS_TO_BROADCAST, path_exists, stage
+from logquarry.staging import broadcast_if_small, path_exists, stage
 
 
 def plain_path(path: Column, encoded: bool = True) -> Column:
@@ -48,9 +48,7 @@ def scan(spark: SparkSession, paths: list[str], module: str | None = None) -> tu
     )
     earlier = Window.partitionBy("file_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     # A window over one row per split of a file: a file of 30 TB in splits of 128 MB has 250 000.
-    starts = splits.withColumn("lines_before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
-    if splits.count() <= ROWS_TO_BROADCAST:
-        starts = F.broadcast(starts)
+    starts = broadcast_if_small(splits.withColumn("lines_before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0))))
     distance = F.col("row_id") - F.col("first_id")
     line_no = F.when(
         (distance >= 0) & (distance < F.col("n_lines")), F.col("lines_before") + distance + 1

@@ -37,13 +37,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Rows of a staged table that may be sent to every executor, for rows of at most a few hundred bytes.
-ROWS_TO_BROADCAST = 500_000
+# What a staged table may hold to be sent to every executor.
+ROWS_TO_BROADCAST, BYTES_TO_BROADCAST = 500_000, 64 << 20
 
 
-def broadcast_if_small(staged: DataFrame, limit: int = ROWS_TO_BROADCAST) -> DataFrame:
-    """A staged table of narrow rows, marked for broadcast when its row count is within the limit; else unchanged."""
-    return F.broadcast(staged) if staged.count() <= limit else staged
+def broadcast_if_small(staged: DataFrame, limit: int | None = None) -> DataFrame:
+    """A staged table, marked for broadcast when its rows and their bytes are within the limits; else unchanged.
+
+    Texts count with their bytes, other columns as 16 bytes. The rows are the same either way.
+    """
+    if staged.count() > (ROWS_TO_BROADCAST if limit is None else limit):
+        return staged
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(16) for c, kind in staged.dtypes]
+    total = staged.agg(F.sum(sum(sizes, F.lit(16)))).first()[0] or 0
+    return F.broadcast(staged) if total <= BYTES_TO_BROADCAST else staged
+
+
+def only_wanted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose keys occur in a staged table; a small table goes to the rows."""
+    return rows.join(broadcast_if_small(wanted.select(*keys)), keys, "left_semi").select(*rows.columns)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

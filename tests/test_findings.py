@@ -109,36 +109,16 @@ def test_result_does_not_depend_on_blocks_or_staging(make_lines):
         assert sorted(find_in_lines(lines, sets, bits=bits, staged=staged).select(names).collect()) == base
 
 
-def test_context_with_too_many_matches_to_broadcast(make_lines, monkeypatch):
-    from logquarry.operators import classify
-
-    logs = random_logs(7, n_files=20)
-    sets = [RuleSet("rules", errors=("error",), grouping=GROUPINGS[1])]
-    names = ["file_path", "finding_index", "excerpt"]
-    plain = sorted(find_in_lines(make_lines(logs), sets, 2, 2).select(names).collect())
-    monkeypatch.setattr(classify, "ROWS_TO_BROADCAST", 0)
-    assert sorted(find_in_lines(make_lines(logs), sets, 2, 2).select(names).collect()) == plain
-
-
-@pytest.mark.parametrize("bits", [7, 10, 26])
-def test_prefilter_keeps_every_wanted_row(spark, bits):
-    from logquarry.operators.prefilter import possibly_in
-
-    rows = spark.range(5000).selectExpr("concat('f', id % 7) AS file", "id AS no")
-    wanted = spark.range(0, 5000, 50).selectExpr("concat('f', id % 7) AS file", "id AS no")
-    kept = possibly_in(rows, ["file", "no"], wanted, bits)
-    assert kept.join(wanted, ["file", "no"]).count() == 100
-    assert kept.count() <= (5000 if bits < 10 else 700 if bits == 10 else 101)
-
-
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_only_wanted(spark, monkeypatch, limit):
-    from logquarry.operators import prefilter
-
-    monkeypatch.setattr(prefilter, "ROWS_TO_BROADCAST", limit)
-    rows = spark.range(500).selectExpr("concat('f', id % 7) AS file", "id AS no", "id * 2 AS v")
+@pytest.mark.parametrize("rows,size", [(0, 1 << 20), (1000, 10), (1000, 1 << 20)])
+def test_only_wanted(spark, monkeypatch, rows, size):
+    """The same rows with and without a broadcast; limits hold for rows and for bytes."""
+    from logquarry import staging
+
+    monkeypatch.setattr(staging, "ROWS_TO_BROADCAST", rows)
+    monkeypatch.setattr(staging, "BYTES_TO_BROADCAST", size)
+    table = spark.range(500).selectExpr("concat('f', id % 7) AS file", "id AS no", "id * 2 AS v")
     wanted = spark.range(0, 700, 50).selectExpr("concat('f', id % 7) AS file", "id AS no", "1 AS extra")
-    kept = prefilter.only_wanted(rows, ["file", "no"], wanted)
+    kept = staging.only_wanted(table, ["file", "no"], wanted)
     assert sorted((r.no, r.v) for r in kept.collect()) == [(i, 2 * i) for i in range(0, 500, 50)]
 
 
