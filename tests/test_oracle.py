@@ -20,7 +20,7 @@ def names():
     import sys
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__
-    return sorted(__spark_entry__.queries())
+    return sorted(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", names())
