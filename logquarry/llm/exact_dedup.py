@@ -69,7 +69,9 @@ def exact_groups(docs: DataFrame, digest=chunk_hash) -> DataFrame:
     than doc_id and text are not read.
     """
     lists = stage(recipes(docs, digest), "recipes")
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join deals out the lists by itself and can split a group that many rows share.
+    groups = stage(
+        lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return lists.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
