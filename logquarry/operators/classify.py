@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logquarry.functions.arrays import unfold
 from logquarry.functions.patterns import find_all
-from logquarry.operators.grouping import grouping_kind, has_mark, needs_placing, place, starts_run, with_marks
+from logquarry.operators.grouping import chunk_lines, grouping_kind, has_mark, needs_placing, place, starts_run, with_marks
 from logquarry.operators.ordered import BLOCK_BITS, along
-from logquarry.operators.rules import HIT_TYPE, hits, is_hit, message, pick, rules_in_order
+from logquarry.operators.rules import CHUNK_CLASSIFIERS, HIT_TYPE, Chunk, hits, is_hit, message, pick, rules_in_order
 from logquarry.schema import SEVERITY_RANK
 from logquarry.spec import RuleSet
 from logquarry.staging import broadcast_if_small, stage
@@ -220,6 +220,51 @@ def find_in_texts(texts: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, s
 CUSTOM_HITS = "array<struct<at:int,severity:string,message:string,rule_id:string>>"
 
 
+def find_by_chunk(lines: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, limit: int = 20,
+                  bits: int = BLOCK_BITS) -> DataFrame:
+    """Findings of the Python classifiers that the rule sets name, called once per chunk of any grouping.
+
+    A classifier sees its chunk whole, so a chunk must fit in a task; files may be of any size. `prefix` lines in front
+    of the chunk come with it. Offsets outside the chunk are an error. Excerpts are the line itself, cut to `limit`.
+    """
+    functions = {r.name: CHUNK_CLASSIFIERS[r.classifier] for r in rule_sets}
+    keep = [*IDS, "line_no", "line", "chunk_no", "line_start"]
+    chunked = chunk_lines(lines, rule_sets, bits).select(*keep, F.lit(False).alias("in_front"))
+    if prefix > 0:
+        first = chunked.groupBy(*IDS, "chunk_no").agg(F.min("line_no").alias("first"))
+        wanted = unfold(first.where("first > 1"), [*IDS, "chunk_no"], F.sequence(
+            F.greatest(F.lit(1), F.col("first") - prefix), F.col("first") - 1), "line_no", "slot").drop("slot")
+        front = wanted.join(lines.select("file_path", "line_no", "line"), ["file_path", "line_no"])
+        chunked = chunked.unionByName(front.select(
+            *[c for c in keep if c != "line_start"], F.lit(None).cast("long").alias("line_start"), F.lit(True).alias("in_front")))
+
+    def gathered(kind: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(kind, F.struct("line_no", "line"))))
+
+    chunks = chunked.groupBy(*IDS, "chunk_no").agg(
+        gathered(~F.col("in_front")).alias("own"), gathered(F.col("in_front")).alias("front"),
+        F.min("line_start").alias("start_line"))
+
+    @F.pandas_udf(CUSTOM_HITS)
+    def run(path: pd.Series, pipeline: pd.Series, start: pd.Series, body: pd.Series, front: pd.Series) -> pd.Series:
+        return pd.Series([
+            [tuple(hit) for hit in functions[p](Chunk(f, p, int(s), list(b), list(w), limit))]
+            for f, p, s, b, w in zip(path, pipeline, start, body, front)])
+
+    found = unfold(
+        chunks, [*IDS, "own", "start_line"], run("file_path", "pipeline", "start_line", "own.line", "front.line"), "hit", "nth")
+    at = F.col("hit.at")
+    placed = found.withColumn("line_no", F.element_at("own", at + 1)["line_no"])
+    counted = along(placed, ["file_path"], "line_no", ties=["nth"], sums={"number": F.lit(1)}, bits=bits)
+    line = (F.col("start_line") + at).cast("long")
+    return counted.select(
+        F.col("module").alias("module_name"), F.col("pipeline").alias("pipeline_name"), "file_path",
+        (F.col("number") - 1).cast("long").alias("finding_index"), F.col("hit.severity").alias("severity"),
+        F.col("hit.message").alias("message"), line.alias("line_start"), line.alias("line_end"),
+        F.col("hit.rule_id").alias("rule_id"), F.slice(F.array(F.element_at("own", at + 1)["line"]), 1, max(1, limit)).alias("excerpt"),
+        F.col("mtime").alias("created_at"))
+
+
 def custom_chunk_findings(texts: DataFrame, fn: Callable[[str, list[str]], list[tuple]]) -> DataFrame:
     """Findings of a Python classifier that sees a whole chunk: fn(pipeline, lines) -> [(at, severity, message, rule)].
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from typing import Callable
+from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,6 +63,27 @@ def register_classifier(name: str, classifier: Classifier) -> None:
     CLASSIFIERS[name] = classifier
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """What a classifier written in Python sees: lines of one chunk, those in front of it, and the excerpt limit."""
+
+    file_path: str
+    pipeline: str
+    start_line: int
+    lines: list[str]
+    before: list[str]
+    limit: int
+
+
+# By the name that a rule set gives as its classifier: a function of a chunk that gives (offset, severity, message, rule).
+CHUNK_CLASSIFIERS: dict[str, Callable[[Chunk], Iterable[tuple[int, str, str, str]]]] = {}
+
+
+def register_chunk_classifier(name: str, function: Callable[[Chunk], Iterable[tuple[int, str, str, str]]]) -> None:
+    """Make a Python classifier available to rule sets under `name`."""
+    CHUNK_CLASSIFIERS[name] = function
+
+
 def classifier_of(rules: RuleSet) -> Classifier:
     return CLASSIFIERS.get(rules.classifier, CLASSIFIERS["regex_counter"])
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import text_lines
-from logquarry.operators.classify import find_in_lines, find_in_texts
+from logquarry.operators.classify import find_by_chunk, find_in_lines, find_in_texts
 from logquarry.operators.grouping import chunk_lines, chunk_table
-from logquarry.operators.rules import route
+from logquarry.operators.rules import register_chunk_classifier, route
 from logquarry.plans.analyze import analyze
 from logquarry.plans.registry import LOGS, query
 from logquarry.sources.tables import document_bodies, document_logs, table
@@ -146,6 +147,27 @@ def group_marker(spark, folder):
     return chunk_report(spark, folder, BY_MARKER)
 
 
+def doubled_words(chunk):
+    """A classifier in Python: lines with a doubled word, with what is known of their chunk."""
+    for at, line in enumerate(chunk.lines):
+        if "the the" in line:
+            yield at, "CRITICAL", f"{len(chunk.before)} before, {at + 1} of {len(chunk.lines)}", "python"
+
+
+@query("custom_classifier", f"""WITH {MARKED_SQL}, sized AS (SELECT file_path, chunk_no, min(line_no) AS first_line, count(*) AS n
+  FROM chunked GROUP BY 1, 2)
+SELECT file_path, line_no AS line_start, 'CRITICAL' AS severity, concat(least(2, first_line - 1), ' before, ',
+  line_no - first_line + 1, ' of ', n) AS message, line AS excerpt,
+  CAST(row_number() OVER (PARTITION BY file_path ORDER BY line_no) - 1 AS BIGINT) AS finding_index
+FROM lines JOIN chunked USING (file_path, line_no) JOIN sized USING (file_path, chunk_no) WHERE contains(line, 'the the')""")
+def custom_classifier(spark, folder):
+    register_chunk_classifier("doubled_words", doubled_words)
+    rules = replace(BY_MARKER, classifier="doubled_words")
+    text = lines(spark, folder).withColumn("pipeline", F.lit(rules.name))
+    return find_by_chunk(text, [rules], prefix=2).select(
+        "file_path", "line_start", "severity", "message", F.get("excerpt", F.lit(0)).alias("excerpt"), "finding_index")
+
+
 SEPARATED_SQL = f"""{LOGS}, seps AS (SELECT file_path, line_no, regexp_matches(line, '^[A-D]') AS sep FROM lines),
 runs AS (SELECT file_path, line_no, sep, sum(CAST(sep AS INT)) OVER (PARTITION BY file_path ORDER BY line_no) AS run
          FROM seps),
