@@ -61,9 +61,10 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def segments_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, count): runs of `count` strings from `start` on with one anchor. Long texts go chunk by chunk."""
-    anchors, starts, counts = [], [], []
+def segments_of(text: bytes) -> tuple[np.ndarray, ...]:
+    """(anchor, start, count, place): runs of `count` strings from `start` on with one anchor, which stands `place` bytes
+    behind the start. Long texts go chunk by chunk."""
+    anchors, starts, counts, places = [], [], [], []
     for at in range(0, len(text) - WIDTH + 1, CHUNK):
         data = np.frombuffer(text[at:at + CHUNK + WIDTH - 1], np.uint8)
         values = grams(data)
@@ -72,9 +73,10 @@ def segments_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         anchors.append(values[place[begins]].view(np.int64))
         starts.append(begins + at)
         counts.append(np.diff(np.concatenate([begins, [len(place)]])))
+        places.append(place[begins] - begins)
     if not anchors:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(anchors), np.concatenate(starts).astype(np.int64), np.concatenate(counts).astype(np.int64)
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(c).astype(np.int64) for c in (anchors, starts, counts, places))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -93,21 +95,40 @@ def anchor_list(keys: DataFrame) -> DataFrame:
 
 
 def segment_list(keys: DataFrame) -> DataFrame:
-    """(doc, print, anchor, signature, start, count); the signature is a hash of the segment's bytes."""
+    """(doc, print, anchor, signature, start, count, place); the signature is a hash of the segment's bytes."""
     def work(batch):
         doc, label, texts = (batch.column(i).to_pylist() for i in range(3))
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], [], [], []]
         for d, p, text in zip(doc, label, texts, strict=True):
-            anchor, start, count = segments_of(text)
+            anchor, start, count, place = segments_of(text)
             digest = xxhash.xxh3_64_intdigest
             marks = np.fromiter((digest(text[s:s + c + WIDTH - 1]) for s, c in zip(start.tolist(), count.tolist(), strict=True)),
                                 np.uint64, len(start)).view(np.int64)
-            for column, values in zip(out, (np.full(len(start), d), np.full(len(start), p), anchor, marks, start, count), strict=True):
+            for column, values in zip(out, (np.full(len(start), d), np.full(len(start), p), anchor, marks, start, count, place), strict=True):
                 column.append(values)
-        names = ("doc", "print", "anchor", "signature", "start", "count")
+        names = ("doc", "print", "anchor", "signature", "start", "count", "place")
         yield {n: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for n, c in zip(names, out, strict=True)}
 
-    return arrow_batches(keys, "doc bigint, print bigint, anchor bigint, signature bigint, start bigint, count bigint", work, 1 << 20)
+    return arrow_batches(keys, ", ".join(
+        f"{n} bigint" for n in ("doc", "print", "anchor", "signature", "start", "count", "place")), work, 1 << 20)
+
+
+def with_company(variants: DataFrame) -> DataFrame:
+    """The segments that may share a string with another one of their anchor.
+
+    A string of WIDTH bytes around an anchor holds half of what is not the anchor on one side of it, at least. So two
+    segments that share one agree in the anchor with as many bytes before it, or with as many behind it.
+    """
+    side = (WIDTH - GRAM) // 2
+    place, size = F.col("place"), F.length("bytes")
+    core = lambda from_: F.substring("bytes", (from_ + 1).cast("int"), F.lit(side + GRAM))
+    keys = F.array_compact(F.array(
+        F.when(place >= side, F.xxhash64("anchor", F.lit(0), core(place - side))),
+        F.when(size - place >= side + GRAM, F.xxhash64("anchor", F.lit(1), core(place)))))
+    named = variants.select("anchor", "signature", F.explode(keys).alias("core"))
+    shared = named.groupBy("core").count().where("count > 1").select("core")
+    kept = named.join(shared, "core", "left_semi").select("anchor", "signature").distinct()
+    return variants.join(kept, ["anchor", "signature"], "left_semi")
 
 
 def suffix_order(symbols: np.ndarray, separators: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,19 +274,20 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD, block_bytes: int = BLOCK
     anchors = stage(anchor_list(keys).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     repeated = stage(segment_list(keys).join(small(anchors, 4_000_000), "anchor"), "segments")
     groups = stage(repeated.groupBy("anchor", "signature").agg(
-        F.min(F.struct("doc", "start")).alias("lead"), F.max("count").alias("count")), "segment-groups")
+        F.min(F.struct("doc", "start")).alias("lead"), F.max("count").alias("count"), F.max("place").alias("place")), "segment-groups")
     wide = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    compared = groups.join(wide, "anchor").select("anchor", "signature", "variants", "count", "lead.*")
+    compared = groups.join(wide, "anchor").select("anchor", "signature", "variants", "count", "place", "lead.*")
     # The texts of first places: where several rows hold one place, they agree in it.
     wanted = compared.join(
         repeated.select("anchor", "signature", "doc", "start", "print"), ["anchor", "signature", "doc", "start"]
-    ).groupBy("anchor", "signature", "doc", "start", "count", "variants").agg(F.min("print").alias("print"))
+    ).groupBy("anchor", "signature", "doc", "start", "count", "place", "variants").agg(F.min("print").alias("print"))
     by_row = stage(wanted.groupBy("doc", "print").agg(
-        F.collect_list(F.struct("anchor", "signature", "start", "count", "variants")).alias("places")), "places")
+        F.collect_list(F.struct("anchor", "signature", "start", "count", "place", "variants")).alias("places")), "places")
     held = keys.join(small(by_row, 200_000), ["doc", "print"]).select("doc", "print", "bytes", F.explode("places").alias("p"))
-    variants = stage(held.select(
+    found = stage(held.select(
         "doc", "p.*", F.substring("bytes", (F.col("p.start") + 1).cast("int"), (F.col("p.count") + WIDTH - 1).cast("int")).alias("bytes")
-    ).dropDuplicates(["anchor", "signature"]), "variants")
+    ), "variants")
+    variants = stage(with_company(found).dropDuplicates(["anchor", "signature"]), "compared")
     total = variants.where(f"variants <= {crowd}").agg(F.sum(F.length("bytes"))).first()[0] or 0
     partial = compared_in_blocks(variants.where(f"variants <= {crowd}"), max(1, -(-total // block_bytes)))
     crowded = variants.where(f"variants > {crowd}")
