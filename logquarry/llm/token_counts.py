@@ -10,6 +10,7 @@ Truncation to a token budget, and whether a text fits one, are then look-ups in
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPECIAL = "<|endoftext|>"
 # Code points on whose kind this pattern's engine and the library's agree; texts with others are split by the library.
 AGREED = r"[\x00-ԯḀ-῿‐-⁤₠-₿　-鿯가-힣\U0001F300-\U0001F64F]"
-# What a task keeps of pieces and prefixes met before, and the length from which prefixes are not kept.
-KNOWN_PIECES, KNOWN_PREFIXES, LONG_PIECE = 400_000, 400_000, 64
+# What a task keeps of pieces, prefixes and pairs met before, and the length from which prefixes are not kept.
+KNOWN_PIECES, KNOWN_PREFIXES, KNOWN_PAIRS, LONG_PIECE = 400_000, 400_000, 400_000, 64
+FOUR_BYTES = struct.Struct("=i").pack
 
 
 def vocabulary_path(name: str) -> str:
@@ -42,6 +44,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
 
 
+class Known(dict):
+    """Prefix counts of pieces as bytes, four for each code point; a missing piece is counted, a full table emptied."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KNOWN_PIECES:
+            self.clear()
+        found = self[piece] = self.count(piece)
+        return found
+
+
 class Counter:
     """Prefix counts of texts. Holds the merges, and the counts of pieces met before."""
 
@@ -49,12 +65,15 @@ class Counter:
         self.parts = {a + b: (n, a, b) for n, (a, b) in reversed(list(enumerate(merges)))}
         self.longest = max(map(len, self.parts), default=1)
         self.path = path
-        self.known: dict[str, np.ndarray] = {}
-        self.states: dict[bytes, tuple[int, bytes]] = {}
+        self.known = Known(self.piece)
+        self.states: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = regex.compile(PIECES)
         self.blanks = regex.compile(r"\s\s+")
         self.unsure = regex.compile(AGREED.replace("[", "[^", 1))
         self.library = None
+        # A token that its own bytes do not lead to never ends a prefix.
+        self.tokens = {t for t, (n, a, b) in self.parts.items() if self.apart(a, b, n)}
 
     @classmethod
     def load(cls, path: str) -> "Counter":
@@ -64,11 +83,12 @@ class Counter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         return cls([tuple(bytes(letters[c] for c in side) for side in pair) for pair in pairs], path)
 
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether `left` and `right` stay apart. Walks back through the merges of both, latest first: tokens at the
-        border live from their own merge to that of their parent, and a merge of the two in that time would join them."""
+    def apart(self, left: bytes, right: bytes, until: int = 1 << 60) -> bool:
+        """Whether `left` and `right` stay apart, up to a merge number. Walks back through the merges of both, latest
+        first: tokens at the border live from their own merge to that of their parent, and a merge of the two in that
+        time would join them."""
         get = self.parts.get
-        left_until = right_until = 1 << 60
+        left_until = right_until = until
         made_left, made_right = get(left), get(right)
         while True:
             joined = get(left + right)
@@ -83,42 +103,69 @@ class Counter:
                 right_until, right = made_right[0], made_right[1]
                 made_right = get(right)
 
-    def counts(self, piece: bytes) -> list[int]:
-        """Tokens of every byte prefix, from 1 byte on. Pieces share prefixes: the count and the last token of every
-        prefix met are kept, so only what follows the longest known one is worked out."""
-        size, parts, longest, fits, states = len(piece), self.parts, self.longest, self.fits, self.states
+    def fits(self, left: bytes, right: bytes) -> bool:
+        found = self.pairs.get((left, right))
+        if found is None:
+            if len(self.pairs) >= KNOWN_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[left, right] = self.apart(left, right)
+        return found
+
+    def counts(self, piece: bytes) -> bytes:
+        """Tokens of every byte prefix, from 1 byte on, as 32-bit numbers.
+
+        Pieces share prefixes: the count and the last token of every prefix of up to LONG_PIECE bytes are kept, so only
+        what follows the longest known one is worked out.
+        """
+        size = known = len(piece)
+        if size > LONG_PIECE:
+            return self.long_counts(piece)
+        tokens, longest, fits, states, state = self.tokens, self.longest, self.fits, self.states, None
         if len(states) > KNOWN_PREFIXES:
             states.clear()
-        known = min(size, LONG_PIECE)
-        while known and piece[:known] not in states:
+        while known and (state := states.get(piece[:known])) is None:
             known -= 1
-        count, last = [0] * (size + 1), [b""] * (size + 1)
-        for end in range(1, known + 1):
-            count[end], last[end] = states[piece[:end]]
+        made = state[2] if state else b""
         for end in range(known + 1, size + 1):
+            for start in range(end - longest if end > longest else 0, end - 1):
+                token = piece[start:end]
+                if token in tokens:
+                    if not start:
+                        count = 1
+                        break
+                    before = states[piece[:start]]
+                    if fits(before[1], token):
+                        count = before[0] + 1
+                        break
+            else:
+                token = piece[end - 1:end]
+                count = states[piece[:end - 1]][0] + 1 if end > 1 else 1
+            made += FOUR_BYTES(count)
+            states[piece[:end]] = count, token, made
+        return made
+
+    def long_counts(self, piece: bytes) -> bytes:
+        """The same for a piece of any length, whose prefixes are not kept."""
+        size, tokens, longest, fits = len(piece), self.tokens, self.longest, self.fits
+        count, last = [0] * (size + 1), [b""] * (size + 1)
+        for end in range(1, size + 1):
             for start in range(max(0, end - longest), end):
                 token = piece[start:end]
-                if (start == end - 1 or token in parts) and (start == 0 or fits(last[start], token)):
+                if start == end - 1 or (token in tokens and (start == 0 or fits(last[start], token))):
                     count[end], last[end] = count[start] + 1, token
                     break
-            if end <= LONG_PIECE:
-                states[piece[:end]] = count[end], last[end]
-        return count[1:]
-
-    def piece(self, piece: str) -> np.ndarray:
-        """Tokens of every prefix of one piece, by code points."""
-        found = self.known.get(piece)
-        if found is None:
-            encoded = piece.encode("utf-8", "surrogatepass")
-            counts = self.counts(encoded)
-            if len(encoded) > len(piece):
-                counts = [c for c, n in zip(counts, [*encoded[1:], 0]) if n & 0xC0 != 0x80]
-            if piece in ("'re", "'ve", "'ll"):  # cut after two characters, the pattern sees a mark and a letter
-                counts[1] = 2
-            if len(self.known) >= KNOWN_PIECES:
-                self.known.clear()
-            found = self.known[piece] = np.array(counts, np.int32)
-        return found
+        return np.array(count[1:], np.int32).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Tokens of every prefix of one piece, by code points, as 32-bit numbers."""
+        encoded = piece.encode("utf-8", "surrogatepass")
+        counts = self.counts(encoded)
+        if len(encoded) > len(piece):
+            begins = np.frombuffer(encoded[1:] + b"\x00", np.uint8) & 0xC0 != 0x80
+            counts = np.frombuffer(counts, np.int32)[begins].tobytes()
+        if piece in ("'re", "'ve", "'ll"):  # cut after two characters, the pattern sees a mark and a letter
+            counts = counts[:4] + FOUR_BYTES(2) + counts[8:]
+        return counts
 
     def split(self, text: str) -> list[str]:
         if self.unsure.search(text) is None:
@@ -134,15 +181,15 @@ class Counter:
         piece, while the whole text may give its last blank to the next word; those places are counted as such."""
         if not text:
             return np.zeros(0, np.int32)
-        pieces = [self.piece(p) for p in self.split(text)]
+        pieces = self.split(text)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces)
+        flat = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
         ends = np.cumsum(lengths)
         before = np.concatenate([[0], np.cumsum(flat[ends - 1])[:-1]])
         out = flat + np.repeat(before, lengths)
         for run in self.blanks.finditer(text):
             base = out[run.start() - 1] if run.start() else 0
-            out[run.start():run.end()] = base + self.piece(run[0])
+            out[run.start():run.end()] = base + np.frombuffer(self.known[run[0]], np.int32)
         return out.astype(np.int32)
 
     def text(self, text: str) -> np.ndarray:
