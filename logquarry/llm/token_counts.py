@@ -10,7 +10,7 @@ Truncation to a token budget, and whether a text fits one, are then look-ups in
 from __future__ import annotations
 
 import json
-import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,6 @@ SPECIAL = "<|endoftext|>"
 AGREED = r"[\x00-ԯḀ-῿‐-⁤₠-₿　-鿯가-힣\U0001F300-\U0001F64F]"
 # What a task keeps of pieces, prefixes and pairs met before, and the length from which prefixes are not kept.
 KNOWN_PIECES, KNOWN_PREFIXES, KNOWN_PAIRS, LONG_PIECE = 400_000, 400_000, 400_000, 64
-FOUR_BYTES = struct.Struct("=i").pack
 
 
 def vocabulary_path(name: str) -> str:
@@ -125,7 +124,7 @@ class Counter:
             states.clear()
         while known and (state := states.get(piece[:known])) is None:
             known -= 1
-        made = state[2] if state else b""
+        made, order = state[2] if state else b"", sys.byteorder
         for end in range(known + 1, size + 1):
             for start in range(end - longest if end > longest else 0, end - 1):
                 token = piece[start:end]
@@ -140,7 +139,7 @@ class Counter:
             else:
                 token = piece[end - 1:end]
                 count = states[piece[:end - 1]][0] + 1 if end > 1 else 1
-            made += FOUR_BYTES(count)
+            made += count.to_bytes(4, order)
             states[piece[:end]] = count, token, made
         return made
 
@@ -164,7 +163,7 @@ class Counter:
             begins = np.frombuffer(encoded[1:] + b"\x00", np.uint8) & 0xC0 != 0x80
             counts = np.frombuffer(counts, np.int32)[begins].tobytes()
         if piece in ("'re", "'ve", "'ll"):  # cut after two characters, the pattern sees a mark and a letter
-            counts = counts[:4] + FOUR_BYTES(2) + counts[8:]
+            counts = counts[:4] + (2).to_bytes(4, sys.byteorder) + counts[8:]
         return counts
 
     def split(self, text: str) -> list[str]:
