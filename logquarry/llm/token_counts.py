@@ -27,7 +27,7 @@ SPECIAL = "<|endoftext|>"
 # Code points on whose kind this pattern's engine and the library's agree; texts with others are split by the library.
 AGREED = r"[\x00-ԯḀ-῿‐-⁤₠-₿　-鿯가-힣\U0001F300-\U0001F64F]"
 # What a task keeps of pieces, prefixes and pairs met before, and the length from which prefixes are not kept.
-KNOWN_PIECES, KNOWN_PREFIXES, KNOWN_PAIRS, LONG_PIECE = 400_000, 400_000, 400_000, 64
+KNOWN_PIECES, KNOWN_PREFIXES, KNOWN_PAIRS, LONG_PIECE = 400_000, 600_000, 400_000, 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -116,14 +116,21 @@ class Counter:
         Pieces share prefixes: the count and the last token of every prefix of up to LONG_PIECE bytes are kept, so only
         what follows the longest known one is worked out.
         """
-        size = known = len(piece)
+        size = len(piece)
         if size > LONG_PIECE:
             return self.long_counts(piece)
         tokens, longest, fits, states, state = self.tokens, self.longest, self.fits, self.states, None
         if len(states) > KNOWN_PREFIXES:
             states.clear()
-        while known and (state := states.get(piece[:known])) is None:
-            known -= 1
+        # Where a prefix is known, all shorter ones are, so the longest is found by halving.
+        known, above = 0, size + 1
+        while above - known > 1:
+            middle = (known + above) // 2
+            found = states.get(piece[:middle])
+            if found is None:
+                above = middle
+            else:
+                known, state = middle, found
         made, order = state[2] if state else b"", sys.byteorder
         for end in range(known + 1, size + 1):
             for start in range(end - longest if end > longest else 0, end - 1):
