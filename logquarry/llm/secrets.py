@@ -27,6 +27,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 # Documents and strings of each kind that are used for training, at most; taken in the order of md5.
 TRAIN_DOCUMENTS, TRAIN_STRINGS = 2_000, 20_000
+# Trainings that leave out unlabelled strings that look random, at most.
+ROUNDS = 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,13 +84,36 @@ def drawn(count: int, seed: int = 7) -> list[str]:
 
 
 def train(secret: list[str], ordinary: list[str]) -> Models:
-    """Models from samples of both kinds; every fifth string is held out and sets the threshold: above every held-out
-    ordinary string of 8 characters or more by a tenth of the gap to the median of the secrets, and never below 0."""
-    held = [s for i, s in enumerate(ordinary) if i % 5 == 0 and len(s) >= 8]
-    ratios = train_pairs([s for i, s in enumerate(secret) if i % 5]) - train_pairs([s for i, s in enumerate(ordinary) if i % 5])
-    highest = max((score(ratios, s) for s in held), default=0.0)
-    middle = float(np.median([score(ratios, s) for s in secret[::5]])) if secret else highest
-    return Models(ratios, max(0.0, highest + 0.1 * max(0.0, middle - highest)))
+    """Models from samples of both kinds; every fifth string is held out and sets the threshold.
+
+    Unlabelled strings that look random may be keys and ids: those of 8 characters or more that score above the middle
+    between the medians of both kinds are left out and the models trained again, until none changes side (ROUNDS at
+    most). Medians do not move with such strings while they are the lesser part. The threshold is above every held-out
+    ordinary string left by a tenth of the gap to the median of the secrets, not below what all but a hundredth of the
+    held-out secrets pass, and never below 0.
+    """
+    numbered, kept = list(enumerate(ordinary)), list(range(len(ordinary)))
+    known = train_pairs([s for i, s in enumerate(secret) if i % 5])
+    for _ in range(ROUNDS):
+        ratios = known - train_pairs([ordinary[i] for i in kept if i % 5])
+        marks = np.array([score(ratios, s) for s in secret[::5]])
+        scored = [(i, score(ratios, s)) for i, s in numbered if len(s) >= 8]
+        chosen = set(kept)
+        held = np.array([x for i, x in scored if i % 5 == 0 and i in chosen])
+        if not len(marks) or not len(held):
+            break
+        cut = (float(np.median(marks)) + float(np.median(held))) / 2
+        held = held[held <= cut]
+        random_looking = {i for i, x in scored if x > cut}
+        left = [i for i, _ in numbered if i not in random_looking]
+        if left == kept:
+            break
+        kept = left
+    highest = float(held.max()) if len(held) else 0.0
+    if not len(marks):
+        return Models(ratios, max(0.0, highest))
+    middle = float(np.median(marks))
+    return Models(ratios, max(0.0, highest + 0.1 * max(0.0, middle - highest), float(np.quantile(marks, 0.01))))
 
 
 def samples(docs: DataFrame) -> tuple[list[str], list[str]]:
