@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logquarry.llm.common import WORD, documents, query, running_sum
 from logquarry.staging import stage
@@ -44,16 +44,20 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     ).drop("__level", "__held", "__shared")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """doc_id, source, the number of words of the text, and the columns `more`."""
+    return docs.select("doc_id", "source", *(more or []), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
-def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows: int | None = None) -> DataFrame:
+def stream(
+    sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows: int | None = None, apart: tuple[str, ...] = (),
+) -> DataFrame:
     """The mixed stream: one row per document and round, with finish, mix_start (words before it) and words.
 
     Input: doc_id, source, size and any other columns, which are kept. A row with no word is never in the stream, nor
-    is a row whose source has no share. Ties in the shuffled order are broken by doc_id, then size; rows that are equal
-    in both may change places, with the same result. Running sums are made over blocks of `block_rows` rows, by
+    is a row whose source has no share. Ties in the shuffled order are broken by doc_id, then size, then the columns
+    `apart`; rows that are equal in all may change places, with the same result. Rows without an id are shuffled by size
+    and `apart`, so that they are not one block. Running sums are made over blocks of `block_rows` rows, by
     default the square root of all rows and 1000 at least, so that neither a block nor the list of blocks is long.
     """
     per_source = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
@@ -62,11 +66,12 @@ def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows
     count = goals.agg(F.sum("rows")).first()[0] or 0
     block_rows = block_rows or max(1000, math.isqrt(count))
     shuffled = sized.join(goals, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
-        "__turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).drop("__source")
+        "__turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(
+            ":", F.lit("none"), *[F.col(c).cast("string") for c in ("size", *apart)])))).drop("__source")
     # Blocks of the shuffled order: as many ranges of the leading 28 bits as the source has blocks of rows.
     lead = F.conv(F.substring("__turn", 1, 7), 16, 10).cast("long")
     block = F.floor(lead * F.ceil(F.col("rows") / block_rows) / F.lit(1 << 28))
-    queued = running_sum(shuffled, ["source"], block, ["__turn", "doc_id", "size"], "size", "before").drop("rows")
+    queued = running_sum(shuffled, ["source"], block, ["__turn", "doc_id", "size", *apart], "size", "before").drop("rows")
     rounds = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn(
         "before", F.col("before") + F.col("round") * F.col("source_size"))
     served = rounds.withColumn(
@@ -76,7 +81,7 @@ def stream(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block_rows
     # Finish times are spread evenly over 0..1 when counted in words, so equal ranges of them are even blocks.
     pieces = F.lit(max(1, -(-count * most // block_rows)))
     merged = running_sum(
-        served, [], F.floor(F.least(F.col("finish"), F.lit(1.0)) * pieces), ["finish", "source", "__turn", "doc_id", "size"],
+        served, [], F.floor(F.least(F.col("finish"), F.lit(1.0)) * pieces), ["finish", "source", "__turn", "doc_id", "size", *apart],
         "words", "mix_start")
     return merged.withColumn("words", F.least(F.col("words"), F.greatest(F.lit(0), F.floor(total) - F.col("mix_start")))) \
         .where("words > 0").drop("__turn", "before")
@@ -91,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     sized = stage(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("__copies")), "sizes")
     rows = sized.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies")
     keys = ("doc_id", "source", "size", "__copy")
-    taken = stream(rows, weights, share, most).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("words").alias("taken"))
+    taken = stream(rows, weights, share, most, apart=("__copy",)).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("words").alias("taken"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
