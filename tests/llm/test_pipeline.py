@@ -8,8 +8,8 @@ import tiktoken
 import corpus_pipeline as pipeline
 from llm.common_rows import empty, odd
 from llm.test_quality import slow_counts
-from llm.test_simhash import slow_classes, slow_fingerprint
 from llm.test_mixing import shares
+from llm.test_near_texts import slow_kept
 from logquarry.llm import bpe, quality
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,13 +44,10 @@ def test_stages(spark):
     single = {r["doc_id"]: r for r in staged(spark, 2).collect()}
     assert set(single) == set(last.values()) and all(single[d] == rows[d] for d in single)
 
-    prints = {d: slow_fingerprint(r["text"]) for d, r in single.items()}
-    classes = slow_classes(sorted(set(prints.values())))
-    least = {}
-    for d in sorted(single, reverse=True):
-        least[classes[prints[d]]] = d
+    ids = sorted(single)
+    places = slow_kept([single[d]["text"] for d in ids])
     apart = {r["doc_id"]: r for r in staged(spark, 3).collect()}
-    assert set(apart) == set(least.values()) and all(apart[d] == rows[d] for d in apart)
+    assert set(apart) == {ids[n] for n in places} and all(apart[d] == rows[d] for d in apart)
 
     mixed = staged(spark, 4).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
@@ -81,3 +78,21 @@ def test_odd_rows(spark, table):
         assert rows.count() <= 2 * docs.count()
     left = [(r["doc_id"], r["text"]) for r in pipeline.exact_duplicates(spark, docs, FOLDER).collect()]
     assert len(left) == len(set(left))
+
+
+def test_mixture_takes_rows_apart(spark):
+    """Rows that repeat an id, or have none, are taken for the words of their target and no more."""
+    word = lambda n: " ".join(f"w{n}x{i}" for i in range(10))
+    rows = [(None, word(n), "s") for n in range(20)] + [(7, word(100 + n), "t") for n in range(20)] + [(8, word(0), "t")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS words", "3 AS mix_start")
+    mixed = pipeline.mixture(spark, docs, FOLDER).collect()
+    sizes, taken, texts_ = {"s": 200, "t": 260}, {}, {r[1] for r in rows}
+    for r in mixed:
+        taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
+        assert any(t.startswith(r["text"]) for t in texts_)
+    for s, goal in shares(sizes).items():
+        assert goal - 1 <= taken[s] <= goal
+    times = {}
+    for r in mixed:
+        times[r["doc_id"], r["text"]] = times.get((r["doc_id"], r["text"]), 0) + 1
+    assert max(n for (d, _), n in times.items() if d != 8) <= 2 and times[8, word(0)] <= 12
