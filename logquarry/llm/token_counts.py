@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SPECIAL = "<|endoftext|>"
 # Code points on whose kind this pattern's engine and the library's agree; texts with others are split by the library.
 AGREED = r"[\x00-ԯḀ-῿‐-⁤₠-₿　-鿯가-힣\U0001F300-\U0001F64F]"
-# What a task keeps of pieces, prefixes and pairs met before, and the length from which prefixes are not kept.
-KNOWN_PIECES, KNOWN_PREFIXES, KNOWN_PAIRS, LONG_PIECE = 400_000, 600_000, 400_000, 64
+# What a task keeps of pieces and pairs met before, twice each; pieces of more bytes than LONG are worked out by
+# themselves and not kept, the others all at once for a batch of texts.
+KNOWN_PIECES, KNOWN_PAIRS, LONG = 300_000, 300_000, 32
+# Places of the table in which a batch looks pairs of tokens up, a power of two.
+PLACES = 1 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -44,18 +48,28 @@ def byte_letters() -> dict[str, int]:
 
 
 class Known(dict):
-    """Prefix counts of pieces as bytes, four for each code point; a missing piece is counted, a full table emptied."""
+    """Results of strings met before; a missing one is worked out. Two generations of `most` are kept: a full one becomes
+    the old one, from which what is met again moves back, so frequent strings are never forgotten."""
 
-    def __init__(self, count):
+    def __init__(self, work, most: int):
         super().__init__()
-        self.count = count
+        self.work, self.most, self.old = work, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KNOWN_PIECES:
-            self.clear()
-        found = self[piece] = self.count(piece)
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.work(key)
+            if isinstance(key, str) and len(key) > LONG:
+                return found
+        self.keep(key, found)
         return found
 
+    def keep(self, key, found) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+
 
 class Counter:
     """Prefix counts of texts. Holds the merges, and the counts of pieces met before."""
@@ -64,15 +78,24 @@ class Counter:
         self.parts = {a + b: (n, a, b) for n, (a, b) in reversed(list(enumerate(merges)))}
         self.longest = max(map(len, self.parts), default=1)
         self.path = path
-        self.known = Known(self.piece)
-        self.states: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.known = Known(self.piece, KNOWN_PIECES)
+        self.pairs = Known(lambda pair: self.apart(*pair), KNOWN_PAIRS)
         self.pieces = regex.compile(PIECES)
         self.blanks = regex.compile(r"\s\s+")
         self.unsure = regex.compile(AGREED.replace("[", "[^", 1))
         self.library = None
+        self.at_once: AtOnce | None = None
+        # The texts of a batch, cut into pieces.
+        self.cut: dict[str, list[str]] = {}
         # A token that its own bytes do not lead to never ends a prefix.
         self.tokens = {t for t, (n, a, b) in self.parts.items() if self.apart(a, b, n)}
+        # Lengths of the tokens that end in the same bytes, the longest first: few at any place of a text.
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.tokens:
+            lengths.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {
+            ending: tuple(sorted(found | {2} if len(ending) == 3 and ending[1:] in self.tokens else found, reverse=True))
+            for ending, found in lengths.items()}
 
     @classmethod
     def load(cls, path: str) -> "Counter":
@@ -102,70 +125,33 @@ class Counter:
                 right_until, right = made_right[0], made_right[1]
                 made_right = get(right)
 
-    def fits(self, left: bytes, right: bytes) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.apart(left, right)
-        return found
-
     def counts(self, piece: bytes) -> bytes:
-        """Tokens of every byte prefix, from 1 byte on, as 32-bit numbers.
-
-        Pieces share prefixes: the count and the last token of every prefix of up to LONG_PIECE bytes are kept, so only
-        what follows the longest known one is worked out.
-        """
-        size = len(piece)
-        if size > LONG_PIECE:
-            return self.long_counts(piece)
-        tokens, longest, fits, states, state = self.tokens, self.longest, self.fits, self.states, None
-        if len(states) > KNOWN_PREFIXES:
-            states.clear()
-        # Where a prefix is known, all shorter ones are, so the longest is found by halving.
-        known, above = 0, size + 1
-        while above - known > 1:
-            middle = (known + above) // 2
-            found = states.get(piece[:middle])
-            if found is None:
-                above = middle
-            else:
-                known, state = middle, found
-        made, order = state[2] if state else b"", sys.byteorder
-        for end in range(known + 1, size + 1):
-            for start in range(end - longest if end > longest else 0, end - 1):
-                token = piece[start:end]
-                if token in tokens:
-                    if not start:
-                        count = 1
-                        break
-                    before = states[piece[:start]]
-                    if fits(before[1], token):
-                        count = before[0] + 1
-                        break
-            else:
-                token = piece[end - 1:end]
-                count = states[piece[:end - 1]][0] + 1 if end > 1 else 1
-            made += count.to_bytes(4, order)
-            states[piece[:end]] = count, token, made
-        return made
-
-    def long_counts(self, piece: bytes) -> bytes:
-        """The same for a piece of any length, whose prefixes are not kept."""
-        size, tokens, longest, fits = len(piece), self.tokens, self.longest, self.fits
+        """Tokens of every byte prefix, from 1 byte on, as 32-bit numbers. The last token of a prefix is the longest that
+        ends there and fits behind the last token of what precedes it; only lengths that some token with the same
+        ending has are tried."""
+        size, tokens, lengths, pairs = len(piece), self.tokens, self.lengths, self.pairs
         count, last = [0] * (size + 1), [b""] * (size + 1)
         for end in range(1, size + 1):
-            for start in range(max(0, end - longest), end):
+            ending = piece[end - 3 if end > 3 else 0:end]
+            for length in lengths.get(ending) or lengths.get(ending[-2:], ()):
+                start = end - length
+                if start < 0:
+                    continue
                 token = piece[start:end]
-                if start == end - 1 or (token in tokens and (start == 0 or fits(last[start], token))):
+                if token in tokens and (not start or pairs[last[start], token]):
                     count[end], last[end] = count[start] + 1, token
                     break
-        return np.array(count[1:], np.int32).tobytes()
+            else:
+                count[end], last[end] = count[end - 1] + 1, piece[end - 1:end]
+        return array("i", count[1:]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Tokens of every prefix of one piece, by code points, as 32-bit numbers."""
         encoded = piece.encode("utf-8", "surrogatepass")
-        counts = self.counts(encoded)
+        return self.by_characters(piece, encoded, self.counts(encoded))
+
+    @staticmethod
+    def by_characters(piece: str, encoded: bytes, counts: bytes) -> bytes:
         if len(encoded) > len(piece):
             begins = np.frombuffer(encoded[1:] + b"\x00", np.uint8) & 0xC0 != 0x80
             counts = np.frombuffer(counts, np.int32)[begins].tobytes()
@@ -187,7 +173,7 @@ class Counter:
         piece, while the whole text may give its last blank to the next word; those places are counted as such."""
         if not text:
             return np.zeros(0, np.int32)
-        pieces = self.split(text)
+        pieces = self.cut.get(text) or self.split(text)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
         ends = np.cumsum(lengths)
@@ -198,6 +184,18 @@ class Counter:
             out[run.start():run.end()] = base + np.frombuffer(self.known[run[0]], np.int32)
         return out.astype(np.int32)
 
+    def learn(self, texts: list[str]) -> None:
+        """Work out the pieces of the texts that are not known, up to LONG bytes, by the recurrence of all at once."""
+        if self.at_once is None:
+            self.at_once = AtOnce(self)
+        known, old = self.known, self.known.old
+        self.cut = {t: self.split(t) for t in texts if SPECIAL not in t}
+        new = [p for p in set().union(*self.cut.values()) if p not in known and p not in old]
+        encoded = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [n for n, e in enumerate(encoded) if len(e) <= LONG]
+        for n, counts in zip(short, self.at_once.counts([encoded[n] for n in short]), strict=True):
+            known.keep(new[n], self.by_characters(new[n], encoded[n], counts))
+
     def text(self, text: str) -> np.ndarray:
         """Prefix counts of a text; a whole special string is one token, a part of it is ordinary text."""
         segments = text.split(SPECIAL)
@@ -211,6 +209,120 @@ class Counter:
         return np.concatenate(out).astype(np.int32)
 
 
+class AtOnce:
+    """The recurrence over many short pieces side by side: place after place, all pieces that are as long."""
+
+    def __init__(self, counter: Counter):
+        self.counter = counter
+        self.tokens = [bytes([b]) for b in range(256)] + sorted(t for t in counter.tokens if 1 < len(t) <= LONG)
+        ids: dict[int, list[int]] = {}
+        for i, t in enumerate(self.tokens):
+            if len(t) > 1:
+                ids.setdefault(len(t), []).append(i)
+        # Tokens of each length by the words of eight bytes that they end in, and which pairs of last bytes they have.
+        self.by_length = {}
+        for length, of in ids.items():
+            words = self.words(np.frombuffer(b"".join(self.tokens[i] for i in of), np.uint8).reshape(-1, length))
+            order = np.argsort(self.mixed(words), kind="stable")
+            endings = np.zeros(1 << 16, bool)
+            endings[[self.tokens[i][-2] << 8 | self.tokens[i][-1] for i in of]] = True
+            self.by_length[length] = self.mixed(words)[order], [w[order] for w in words], np.array(of, np.int64)[order], endings
+        self.met, self.joins = np.full(PLACES, -1, np.int64), np.zeros(PLACES, bool)
+
+    @staticmethod
+    def words(rows: np.ndarray) -> list[np.ndarray]:
+        """Rows of bytes as words of eight bytes, the last first; the first bytes of a row are a shorter word."""
+        out = []
+        for end in range(rows.shape[1], 0, -8):
+            word = np.zeros(len(rows), np.uint64)
+            for at in range(max(0, end - 8), end):
+                word = (word << np.uint64(8)) | rows[:, at]
+            out.append(word)
+        return out
+
+    @staticmethod
+    def mixed(words: list[np.ndarray]) -> np.ndarray:
+        out = words[0]
+        for word in words[1:]:
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+        return out
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether tokens fit, by id. A place of the table has the pair that was looked up there last."""
+        keys = left * len(self.tokens) + right
+        places = ((keys * 0x2545F4914F6CDD1D) >> 33) & (PLACES - 1)
+        unknown = np.flatnonzero(self.met[places] != keys)
+        found = self.joins[places]
+        if len(unknown):
+            pairs, tokens = self.counter.pairs, self.tokens
+            some, which = np.unique(keys[unknown], return_inverse=True)
+            values = np.array([pairs[tokens[k // len(tokens)], tokens[k % len(tokens)]] for k in some.tolist()], bool)[which]
+            found[unknown] = self.joins[places[unknown]] = values
+            self.met[places[unknown]] = keys[unknown]
+            # Of two pairs with one place the later was kept, in both tables.
+        return found
+
+    def counts(self, pieces: list[bytes]) -> list[bytes]:
+        """Tokens of every byte prefix of each piece of up to LONG bytes, as 32-bit numbers."""
+        if not pieces:
+            return []
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        offsets = np.arange(len(flat)) - np.repeat(begins, sizes)
+        # The eight bytes that end at each place, and the last two of them.
+        word = np.zeros(len(flat), np.uint64)
+        for back in range(7, -1, -1):
+            shifted = np.zeros(len(flat), np.uint64)
+            shifted[back:] = flat[:max(0, len(flat) - back)]
+            word = (word << np.uint64(8)) | shifted
+        ending = (word & np.uint64(0xFFFF)).astype(np.int64)
+        # Of each place: which lengths have a token that ends there, as bits, and the tokens by length.
+        lengths = np.zeros(len(flat), np.int64)
+        found_at = {}
+        for length, (hashes, words, ids, endings) in self.by_length.items():
+            at = np.flatnonzero((offsets >= length - 1) & endings[ending])
+            if not len(at):
+                continue
+            mine = []
+            for n in range(-(-length // 8)):
+                kept = min(8, length - 8 * n)
+                mine.append(word[at - 8 * n] & np.uint64((1 << 8 * kept) - 1))
+            where = np.minimum(np.searchsorted(hashes, self.mixed(mine)), len(hashes) - 1)
+            same = np.ones(len(at), bool)
+            for one, other in zip(mine, words, strict=True):
+                same &= one == other[where]
+            at = at[same]
+            lengths[at] |= 1 << (length - 1)
+            token = found_at[length] = np.full(len(flat), -1, np.int64)
+            token[at] = ids[where[same]]
+        counts, last = np.ones(len(flat), np.int32), flat.astype(np.int64)
+        longest_first = sorted(found_at, reverse=True)
+        for offset in range(1, int(sizes.max())):
+            at = begins[sizes > offset] + offset
+            counts[at] = counts[at - 1] + 1
+            for length in longest_first:
+                if length > offset + 1 or not len(at):
+                    continue
+                mine = (lengths[at] >> (length - 1)) & 1 == 1
+                if not mine.any():
+                    continue
+                some = at[mine]
+                token = found_at[length][some]
+                if length == offset + 1:
+                    good = np.ones(len(some), bool)
+                    counts[some] = 1
+                else:
+                    good = self.fits(last[some - length], token)
+                    counts[some[good]] = counts[some[good] - length] + 1
+                last[some[good]] = token[good]
+                left = ~mine
+                left[np.flatnonzero(mine)[~good]] = True
+                at = at[left]
+        whole = counts.tobytes()
+        return [whole[4 * b:4 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+
+
 def prefix_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """The columns `keep` and prefix_tokens, an array: entry i is the token count of the first i code points.
 
@@ -225,7 +337,9 @@ def prefix_counts(docs: DataFrame, keep: list[str], path: str | None = None) ->
     def work(batch):
         if "counter" not in state:
             state["counter"] = Counter.load(path)
-        counts = [state["counter"].text(t or "") for t in batch.column(len(keep)).to_pylist()]
+        texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+        state["counter"].learn(texts)
+        counts = [state["counter"].text(t) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
         flat = np.concatenate(counts) if counts else np.zeros(0, np.int32)
         columns = {c: batch.column(i) for i, c in enumerate(keep)}

@@ -77,3 +77,29 @@ def test_odd_rows(spark, table):
     docs = table(spark)
     rows = tc.prefix_counts(docs, ["doc_id", "text", "key"]).select("text", tc.tokens(F.col("prefix_tokens")).alias("n")).collect()
     assert len(rows) == docs.count() and all(r["n"] == library(r["text"] or "") for r in rows)
+
+
+def test_many_pieces_at_once_as_one_by_one():
+    """Pieces of all lengths, with pairs that share places of a small table."""
+    import random
+
+    counter = tc.Counter.load(tc.vocabulary_path(tc.VOCABULARY))
+    at_once, draw = tc.AtOnce(counter), random.Random(2)
+    tokens = sorted(counter.tokens)
+    pieces = ["".join(draw.choices("abc é漢-", k=draw.randint(1, 10))).encode() for _ in range(300)]
+    pieces += [b"".join(draw.choices(tokens, k=draw.randint(1, 4)))[:tc.LONG] for _ in range(700)] + [b"a", b" ", b"-" * 32]
+    expected = [counter.counts(p) for p in pieces]
+    assert at_once.counts(pieces) == expected
+    tc.PLACES, places = 4, tc.PLACES
+    try:
+        assert at_once.counts(pieces) == expected and at_once.counts([b"x"]) == [counter.counts(b"x")] and at_once.counts([]) == []
+    finally:
+        tc.PLACES = places
+
+
+def test_frequent_pieces_are_never_forgotten():
+    worked = []
+    known = tc.Known(lambda k: worked.append(k) or k, 3)
+    for n in range(20):
+        assert known["often"] == "often" and known[f"once {n}"] == f"once {n}"
+    assert worked.count("often") == 1 and len(known) + len(known.old) <= 6
