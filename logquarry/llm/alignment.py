@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SINGLE_PROBES = 6
 LARGE_GROUP = 4096
 # Texts with longer runs of white space are left to the library that the vocabulary is made for.
 LONGEST_BLANK = 5_000
+# Ids that are written at once, so that what is between stays in a cache.
+CACHED = 1 << 14
 # Bytes of rows that are worked on together.
 SLICE_BYTES = 4 << 20
 
@@ -130,7 +133,8 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, lows: np.ndarray, highs:
         split = cuts >= 0
         cuts, lows, highs = cuts[split], lows[split], highs[split]
         found.append(cuts)
-        lows, highs = np.concatenate([lows, cuts + 1]), np.concatenate([cuts, highs])
+        # Intervals stay in order, so that probes ascend.
+        lows, highs = np.stack([lows, cuts + 1], axis=1).ravel(), np.stack([cuts, highs], axis=1).ravel()
         open_ = lows < highs
         lows, highs = lows[open_], highs[open_]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -191,24 +195,45 @@ def pair_counts(docs: np.ndarray, a: np.ndarray, b: np.ndarray, a_to: np.ndarray
     return owners[starts], keys[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
-def group_digests(a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, groups: np.ndarray, a_words, b_words) -> list[str]:
-    """The digest of each document's groups, `groups` of each, written as ids in order: `a1,a2|b1;a3|b2,b3`. `a_words` has
-    the digits of every id followed by a comma, then followed by a bar; `b_words` by a comma, then by a semicolon."""
+class Written:
+    """Words in rows of equal width, and how many of their bytes count."""
+
+    def __init__(self, words: list[bytes]):
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        width = int(self.sizes.max(initial=1))
+        self.rows = np.frombuffer(b"".join(w.ljust(width) for w in words), np.uint8).reshape(-1, width)
+
+    def joined(self, which: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words one after the other, and where each ends."""
+        sizes, places = self.sizes[which], np.arange(self.rows.shape[1])
+        parts = [
+            self.rows[which[at:at + CACHED]][places < sizes[at:at + CACHED, None]].tobytes() for at in range(0, len(which), CACHED)]
+        return b"".join(parts), np.cumsum(sizes)
+
+
+def written(a_count: int, b_count: int) -> Written:
+    """Ids as they are hashed: of the first tokenizer followed by a comma, then by a bar; of the second by a comma, then
+    by a semicolon."""
+    return Written([b"%d%c" % (i, mark) for n, marks in ((a_count, b",|"), (b_count, b",;")) for mark in marks for i in range(n)])
+
+
+def group_digests(
+    a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, groups: np.ndarray, a_count: int, b_count: int, words: Written,
+) -> list[str]:
+    """The digest of each document's groups, `groups` of each, written as ids in order: `a1,a2|b1;a3|b2,b3`."""
     a_from, b_from = np.concatenate([[0], a_to[:-1]]), np.concatenate([[0], b_to[:-1]])
     sizes = np.stack([a_to - a_from, b_to - b_from], axis=1)
     before = np.cumsum(sizes.ravel()) - sizes.ravel()
     order = np.empty(len(a) + len(b), np.int64)
     a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    a_last[a_to - 1], b_last[b_to - 1] = len(a_words) // 2, len(b_words) // 2
+    a_last[a_to - 1], b_last[b_to - 1] = a_count, b_count
     order[np.repeat(before[0::2], sizes[:, 0]) + spread(sizes[:, 0])] = a + a_last
-    order[np.repeat(before[1::2], sizes[:, 1]) + spread(sizes[:, 1])] = b + b_last + len(a_words)
-    words = list(map((a_words + b_words).__getitem__, order.tolist()))
-    out, at, done = [], 0, np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
-    for n in groups.tolist():
-        begin, end = int(done[at]), int(done[at + n])
-        at += n
-        out.append(hashlib.sha256(b"".join(words[begin:end])[:-1]).hexdigest() if n else "")
-    return out
+    order[np.repeat(before[1::2], sizes[:, 1]) + spread(sizes[:, 1])] = b + b_last + 2 * a_count
+    text, ends = words.joined(order)
+    tokens = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])[np.concatenate([[0], np.cumsum(groups)])]
+    places = np.concatenate([[0], ends])[tokens].tolist()
+    return [
+        hashlib.sha256(memoryview(text)[begin:end - 1]).hexdigest() if end > begin else "" for begin, end in zip(places, places[1:], strict=False)]
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.ListArray:
@@ -231,10 +256,8 @@ def aligned(docs: DataFrame, keep: list[str], first: str, first_ranks: str, seco
         if "first" not in held:
             held["first"], held["second"] = First(first, first_ranks), Second(second)
             for side in ("first", "second"):
-                known = held[side].bytes
-                held[side, "lengths"] = np.array([len(t) for t in known], np.int64)
-                held[side, "words"] = [b"%d," % i for i in range(len(known))] + [
-                    (b"%d|" if side == "first" else b"%d;") % i for i in range(len(known))]
+                held[side, "lengths"] = np.array([len(t) for t in held[side].bytes], np.int64)
+            held["words"] = written(len(held["first"].bytes), len(held["second"].bytes))
         return held["first"], held["second"]
 
     def facts(batch):
@@ -243,8 +266,8 @@ def aligned(docs: DataFrame, keep: list[str], first: str, first_ranks: str, seco
         both = [tokens(t, one, two) for t in batch.column(len(names)).to_pylist()]
         a_counts = np.array([len(x) for x, _ in both], np.int64)
         b_counts = np.array([len(y) for _, y in both], np.int64)
-        a = np.fromiter((i for x, _ in both for i in x), np.int64, a_counts.sum())
-        b = np.fromiter((i for _, y in both for i in y), np.int64, b_counts.sum())
+        a = np.fromiter(chain.from_iterable(x for x, _ in both), np.int64, a_counts.sum())
+        b = np.fromiter(chain.from_iterable(y for _, y in both), np.int64, b_counts.sum())
         a_to, b_to = group_bounds(ends_of(a, held["first", "lengths"]), ends_of(b, held["second", "lengths"]), a_counts)
         owners = np.searchsorted(np.cumsum(a_counts), a_to - 1, side="right")
         groups = np.bincount(owners, minlength=len(both)).astype(np.int64)
@@ -254,7 +277,7 @@ def aligned(docs: DataFrame, keep: list[str], first: str, first_ranks: str, seco
         columns = {n: batch.column(i) for i, n in enumerate(names)} | {
             "n_a": pa.array(a_counts), "n_b": pa.array(b_counts), "n_groups": pa.array(groups),
             "n_links": pa.array(summed[closes] - summed[closes - groups]),
-            "groups_sha256": pa.array(group_digests(a, b, a_to, b_to, groups, held["first", "words"], held["second", "words"]), pa.string()),
+            "groups_sha256": pa.array(group_digests(a, b, a_to, b_to, groups, len(one.bytes), len(two.bytes), held["words"]), pa.string()),
         }
         return columns, *pair_counts(owners, a, b, a_to, b_to, len(two.bytes))
 
