@@ -97,9 +97,9 @@ SELECT module_name, epoch_us(begins) AS begins, count(*) FILTER (upper(severity)
   last(severity ORDER BY created_at, id) AS last_severity
 FROM starts GROUP BY 1, 2""")
 def stream_stats(spark, folder):
-    rolling = follow.rolling_stats(landed_events(spark, folder))
-    rows = follow.run_updates(rolling, ["module_name", "window"], new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint"))
-    return rows.select(
+    panes = follow.rolling_panes(landed_events(spark, folder))
+    kept = follow.run_updates(panes, ["module_name", "pane"], new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint"))
+    return follow.rolling_stats(kept).select(
         "module_name", F.unix_micros("window.start").alias("begins"), "errors", "warnings",
         F.unix_micros("last_log_update").alias("last_log_update"), "last_severity")
 

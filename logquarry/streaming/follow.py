@@ -144,19 +144,36 @@ def first_sightings(findings: DataFrame, delay: str = "1 day") -> DataFrame:
     return findings.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def rolling_stats(findings: DataFrame, delay: str = "1 hour", width: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """Errors and warnings per module in sliding windows, and the severity of the newest finding, the higher id first."""
+def rolling_panes(findings: DataFrame, delay: str = "1 hour", step: str = "1 hour") -> DataFrame:
+    """State of rolling statistics: one pane per module and step of time, whatever the width of the windows made of it."""
     upper = F.upper("severity")
     return (
         findings.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", width, step), "module_name")
+        .groupBy(F.window("created_at", step).alias("pane"), "module_name")
         .agg(F.count_if(upper.isin("ERROR", "CRITICAL")).alias("errors"),
              F.count_if(upper == "WARNING").alias("warnings"),
-             F.max_by("severity", F.struct("created_at", "id")).alias("last_severity"),
-             F.max("created_at").alias("last_log_update"))
+             F.max(F.struct("created_at", "id", "severity")).alias("newest"))
     )
 
 
+def rolling_stats(panes: DataFrame, steps: int = 24) -> DataFrame:
+    """Errors and warnings per module in sliding windows of `steps` panes, with the severity of the newest finding, the
+    higher id first. Every window that holds a finding is a row.
+
+    A pane is read `steps` times; findings are not. The newest of a window is the newest of its panes' newest.
+    """
+    width = F.col("pane.end") - F.col("pane.start")
+    spread = panes.select(
+        "module_name", "errors", "warnings", "newest", width.alias("step"), F.col("pane.start").alias("start"),
+        F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("back"))
+    begins = F.col("start") - F.col("step") * F.col("back")
+    return spread.groupBy(
+        F.struct(begins.alias("start"), (begins + F.col("step") * steps).alias("end")).alias("window"), "module_name"
+    ).agg(F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.max("newest").alias("newest")).select(
+        "window", "module_name", "errors", "warnings", F.col("newest.severity").alias("last_severity"),
+        F.col("newest.created_at").alias("last_log_update"))
+
+
 def deliver(module: Module, store_path: str, payload_path: str | None = None, alert_path: str | None = None):
     """Action for each batch of findings: gate, store, payloads, alerts.
 
