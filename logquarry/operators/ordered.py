@@ -88,3 +88,24 @@ def islands(df: DataFrame, keys: list[str], position: str, value: str, out: str,
             blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__opens")).alias("__base"))
     return local.join(carried, [*keys, BLOCK]).select(
         *[F.col(c) for c in df.columns], (F.col("__island") + F.col("__base")).cast("long").alias(out))
+
+
+def sorted_ranges(df: DataFrame, order: list[Column], out: str = "__range") -> DataFrame:
+    """`df` sorted into ranges of `order`, with the number of its range: a key of any size is spread over tasks. The
+    result has to be written before the ranges are used, so that they are the same in every use."""
+    return df.repartitionByRange(*order).withColumn(out, F.spark_partition_id())
+
+
+def before(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, str], at: str = "__range") -> DataFrame:
+    """Add sums (name -> column) over the earlier rows of the same keys of written ranges. Each (keys, range) is a window
+    group; one row per group carries the sums on."""
+    inside = Window.partitionBy(*keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, at).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in values.items()])
+    carried = totals.select(*[F.col(k).alias(f"__k_{k}") for k in (*keys, at)], *[
+        F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in values])
+    local = df.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__l_{n}") for n, v in values.items()])
+    same = F.lit(True)
+    for k in (*keys, at):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return local.join(carried, same).select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in values])

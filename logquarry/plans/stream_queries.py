@@ -13,13 +13,13 @@ from logquarry.sources.tables import document_bodies, event_findings
 from logquarry.staging import new_folder
 from logquarry.streaming import follow
 
-PIECES = 3
+PIECES = 4
 
 
 def land_documents(spark, folder):
-    """Every document as a log that arrives in three segments, one delivery after the other; many logs share a module.
+    """Every document as a log that arrives in four segments, one delivery after the other; all logs share a module.
 
-    Every fifth log was written anew after its second segment: the third is the first of its second generation.
+    Every fifth log is written anew before each segment: it has four generations of one segment.
     """
     bodies = document_bodies(spark, folder)
     size = F.greatest(F.lit(1), F.ceil(F.size("body") / PIECES).cast("int"))
@@ -27,35 +27,39 @@ def land_documents(spark, folder):
         i.cast("long").alias("segment"), F.slice("body", i * size + 1, size).alias("part")))
     rows = unfold(bodies, ["doc_id", "file_path", "pipeline", "mtime"], segment, "s").where(F.size("s.part") > 0)
     segments = rows.select(
-        F.concat(F.lit("m"), F.col("doc_id") % 7).alias("module"), "file_path", "pipeline",
-        ((F.col("doc_id") % 5 == 0) & (F.col("s.segment") == 2)).cast("long").alias("generation"),
+        F.lit("m").alias("module"), "file_path", "pipeline",
+        F.when(F.col("doc_id") % 5 == 0, F.col("s.segment")).otherwise(0).cast("long").alias("generation"),
         "s.segment", F.col("mtime").alias("arrived"), F.array_join("s.part", "\n").alias("text"))
     return follow.table_segments(spark, *landed(segments, F.col("segment"), PIECES))
 
 
-def landed(rows, piece, pieces):
-    """A landing folder that the pieces came to one after the other, and the files of an average piece."""
+def landed(rows, piece, pieces, files=None):
+    """A landing folder that the pieces came to one after the other, and the files of an average piece. With `files` every
+    piece has that many, so that each is one delivery."""
     landing = new_folder(rows.sparkSession, "landing")
     for i in range(pieces):
-        rows.where(piece == i).write.mode("append").parquet(landing)
-    return landing, max(1, len(rows.sparkSession.read.parquet(landing).inputFiles()) // pieces)
+        part = rows.where(piece == i)
+        (part.repartition(files) if files else part).write.mode("append").parquet(landing)
+    return landing, files or max(1, len(rows.sparkSession.read.parquet(landing).inputFiles()) // pieces)
 
 
-def finished(spark, stream, mode="append"):
-    return follow.run_available(stream, new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint"), mode)
+def by_batches(spark, stream, batches):
+    """The rows that `batches` (places, action) gives for the stream."""
+    output = new_folder(spark, "stream")
+    work = batches(new_folder(spark, "places"), follow.as_table(output))
+    return follow.run_batches(stream, work, output, new_folder(spark, "stream-checkpoint"))
 
 
-# Line numbers of a second generation start again.
-AGAIN = """sized AS (SELECT file_path, doc_id, max(line_no) AS n FROM lines GROUP BY 1, 2),
-turned AS (SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 2 * greatest(1, CAST(ceil(n / 3) AS BIGINT)) ELSE n END AS n FROM sized)"""
+# Line numbers of a further generation start again.
+AGAIN = """sized AS (SELECT file_path, doc_id, max(line_no) AS n, greatest(1, CAST(ceil(max(line_no) / 4) AS BIGINT)) AS size FROM lines GROUP BY 1, 2)"""
+TURNED = "CASE WHEN sized.doc_id % 5 = 0 THEN (line_start - 1) % size + 1 ELSE line_start END"
 
 
 @query("stream_findings", f"""WITH {LICENSE_FINDINGS}, {AGAIN}
-SELECT file_path, severity, message, line_start - CASE WHEN line_start > n THEN n ELSE 0 END AS line_start, rule_id, true AS distinct_index
-FROM findings JOIN turned USING (file_path)""")
+SELECT file_path, severity, message, {TURNED} AS line_start, rule_id, true AS distinct_index
+FROM findings JOIN sized USING (file_path)""")
 def stream_findings(spark, folder):
-    found = follow.follow(land_documents(spark, folder), [LICENSES])
-    rows = finished(spark, found)
+    rows = by_batches(spark, land_documents(spark, folder), lambda places, action: follow.following([LICENSES], places, action))
     # Finding numbers of a module go on from log to log: each is given once.
     again = rows.groupBy("module_name", "finding_index").agg(F.count(F.lit(1)).alias("given"))
     return rows.join(again, ["module_name", "finding_index"]).select(
@@ -63,21 +67,36 @@ def stream_findings(spark, folder):
 
 
 @query("stream_carried_context", f"""WITH {LICENSE_FINDINGS}, {AGAIN}, {context_sql(2, 0)}
-SELECT f.file_path, line_start - CASE WHEN line_start > n THEN n ELSE 0 END AS line_start, f.rule_id, f.message, excerpt
-FROM findings f JOIN turned USING (file_path) JOIN context c ON c.file_path = f.file_path AND c.line_no = f.line_start""")
+SELECT f.file_path, {TURNED} AS line_start, f.rule_id, f.message, excerpt
+FROM findings f JOIN sized USING (file_path) JOIN context c ON c.file_path = f.file_path AND c.line_no = f.line_start""")
 def stream_carried_context(spark, folder):
-    found = follow.follow(land_documents(spark, folder), [LICENSES], prefix=2)
-    return finished(spark, found).select(
-        "file_path", "line_start", "rule_id", "message", text_lines(F.col("excerpt")).alias("excerpt"))
+    found = by_batches(spark, land_documents(spark, folder), lambda places, action: follow.following([LICENSES], places, action, prefix=2))
+    return found.select("file_path", "line_start", "rule_id", "message", text_lines(F.col("excerpt")).alias("excerpt"))
 
 
 @query("stream_numbering", f"""WITH {LOGS}, {AGAIN},
-pieces AS (SELECT file_path, doc_id, n, unnest([0, 1, 2]) AS segment, greatest(1, CAST(ceil(n / 3) AS BIGINT)) AS size FROM sized)
-SELECT file_path, CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN doc_id % 5 = 0 AND segment = 2 THEN 1
+pieces AS (SELECT file_path, doc_id, n, unnest([0, 1, 2, 3]) AS segment, size FROM sized)
+SELECT file_path, CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN doc_id % 5 = 0 THEN 1
   ELSE segment * size + 1 END AS BIGINT) AS start_line FROM pieces WHERE segment * size < n""")
 def stream_numbering(spark, folder):
-    numbered = follow.numbered_segments(land_documents(spark, folder), [LICENSES])
-    return finished(spark, numbered).select("file_path", "segment", "start_line")
+    numbered = by_batches(spark, land_documents(spark, folder), lambda places, action: follow.numbering([LICENSES], places, action))
+    return numbered.select("file_path", "segment", "start_line")
+
+
+@query("stream_silences", f"""WITH {LOGS}, arrived AS (SELECT DISTINCT concat('m', doc_id % 7) AS module, mtime FROM lines),
+gaps AS (SELECT module, mtime, coalesce(lead(mtime) OVER (PARTITION BY module ORDER BY mtime), (SELECT max(mtime) FROM arrived)) AS until FROM arrived)
+SELECT module, mtime AS silent_since, mtime + 300 AS alarm_at FROM gaps WHERE until - mtime > 300""")
+def stream_silences(spark, folder):
+    """Logs of seven modules arrive in the order of their times, in five deliveries."""
+    rows = document_bodies(spark, folder).where(F.size("body") > 0).select(
+        F.concat(F.lit("m"), F.col("doc_id") % 7).alias("module"), "file_path", "pipeline", F.lit(0).cast("long").alias("generation"),
+        F.lit(0).cast("long").alias("segment"), F.col("mtime").alias("arrived"), F.array_join("body", "\n").alias("text"))
+    span = rows.agg(F.min("arrived").alias("first"), F.max("arrived").alias("last")).first()
+    width = (span["last"] - span["first"]).total_seconds() / 5 + 1 if span["first"] else 1
+    piece = F.floor((F.unix_timestamp("arrived") - F.unix_timestamp(F.lit(span["first"]).cast("timestamp"))) / width)
+    stream = follow.table_segments(spark, *landed(rows, piece, 5, files=4))
+    told = by_batches(spark, stream, lambda places, action: follow.watching(places, action, 5))
+    return told.select("module", *[F.unix_timestamp(c).alias(c) for c in ("silent_since", "alarm_at")])
 
 
 def landed_events(spark, folder):

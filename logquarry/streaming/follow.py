@@ -2,41 +2,25 @@
 
 A collector delivers closed segments of each log: text files in a landing folder, or rows of a landing table. A segment
 is one arrival. Its lines are numbered after those before it, its first findings may quote the last lines before it, and
-finding numbers go on per module. That is all the state there is, one small entry per log and generation. Classifying a segment is a
-projection of its own row.
+finding numbers go on per module. These places are tables (`places`). Classifying a segment is a projection of its own row.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logquarry.functions.text import split_lines
 from logquarry.operators.classify import find_in_texts
 from logquarry.operators.payloads import alert_records, needs_model, with_payload
-from logquarry.operators.rules import hit_count, is_hit, pick
 from logquarry.operators.store import IDENTITY, append
 from logquarry.sources.text_logs import plain_path
 from logquarry.schema import FINDINGS, conform
 from logquarry.spec import Module, RuleSet
 from logquarry.staging import stage
+from logquarry.streaming.places import Places
 
 SEGMENTS = "module string, file_path string, pipeline string, generation long, segment long, arrived timestamp, text string"
 
-NUMBERED = (
-    "module string, file_path string, pipeline string, generation long, segment long, mtime timestamp, "
-    "start_line long, first_index long, carried array<string>, text string, fresh boolean"
-)
-
-
-OUT_COLUMNS = ["module", "file_path", "pipeline", "generation", "segment", "mtime", "start_line", "first_index", "carried",
-               "text", "fresh"]
-
-
 def text_segments(spark: SparkSession, folder: str, pipeline: str, max_files: int | None = None) -> DataFrame:
     """Stream of text files `<folder>/<module>/<generation>/<segment>.<suffix>`, one file per segment."""
     reader = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true")
@@ -62,81 +46,62 @@ def table_segments(spark: SparkSession, folder: str, max_files: int | None = Non
     return reader.parquet(folder)
 
 
-# Per module: the next finding number, and as JSON the place of each log that is being followed.
-STATE = "next_index long, logs string"
-# Generations of one log that are remembered; a late segment of an older one starts at line 1.
-GENERATIONS = 2
+def findings_of(numbered: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, suffix: int = 0, limit: int = 20,
+                compat_prefix: bool = False) -> DataFrame:
+    """Findings of numbered segments; lines after a match come from its own segment only."""
+    bodies = numbered.where("fresh").withColumn("body", split_lines(F.col("text")))
+    return find_in_texts(bodies, rule_sets, prefix, suffix, limit, compat_prefix=compat_prefix)
 
 
-def numbering(prefix: int):
-    """Line numbers and carried lines of each log and generation, and finding numbers of the module, from batch to batch.
+def following(
+    rule_sets: list[RuleSet], places: str, action, prefix: int = 0, suffix: int = 0, limit: int = 20, started: Column | None = None,
+    seeds: DataFrame | None = None, forget: str | None = None,
+):
+    """What a stream of segments does with each batch: number it, find, and hand the findings to `action` (findings, id).
 
-    Only counts and the last few lines of a segment are looked at; its text passes through. The state holds a few
-    numbers and `prefix` lines for the latest generations of each log.
+    Places of the logs are kept in the folder `places` (see `places.Places`); they are written after the action, so a
+    batch that failed runs again from the same places.
     """
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [row for batch in batches for row in batch.itertuples(index=False)]
-        rows.sort(key=lambda row: (row.file_path, row.generation, row.segment))
-        next_index, known = state.get if state.exists else (int(rows[0].seed), "{}")
-        logs, out = json.loads(known), []
-        for row in rows:
-            generations = logs.setdefault(row.file_path, {})
-            name = str(row.generation)
-            if name not in generations:
-                # A new generation quotes the last lines of the one before it.
-                before = max((int(g) for g in generations if int(g) < row.generation), default=None)
-                generations[name] = [1, [] if before is None else generations[str(before)][1]]
-            next_line, carried = generations[name]
-            out.append((row.module, row.file_path, row.pipeline, row.generation, row.segment, row.arrived, next_line,
-                        next_index, carried, row.text, row.fresh))
-            if row.fresh:
-                next_index += row.n_hits
-                if prefix > 0:
-                    carried = (carried + list(row.final_lines))[-prefix:]
-            generations[name] = [int(next_line + row.n_lines), carried]
-            for old in sorted(generations, key=int)[:-GENERATIONS]:
-                del generations[old]
-        state.update((int(next_index), json.dumps(logs)))
-        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = Places(batch.sparkSession, places, prefix, forget)
+        numbered = kept.number(batch, batch_id, rule_sets, started, seeds)
+        action(findings_of(numbered, rule_sets, prefix, suffix, limit), batch_id)
+        kept.keep(batch_id)
 
     return run
 
 
-def numbered_segments(segments: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, started: Column | None = None,
-                      seeds: DataFrame | None = None) -> DataFrame:
-    """Segments with start_line, first_index and carried lines.
+def numbering(rule_sets: list[RuleSet], places: str, action, prefix: int = 0, started: Column | None = None, forget: str | None = None):
+    """The same without findings: `action` gets the numbered segments."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = Places(batch.sparkSession, places, prefix, forget)
+        action(kept.number(batch, batch_id, rule_sets, started), batch_id)
+        kept.keep(batch_id)
 
-    started  report only segments that arrived from then on; earlier ones are counted
-    seeds    (module, next_index) of modules that have stored findings, read once per batch for logs without state
-    """
-    fresh = F.lit(True) if started is None else F.col("arrived") >= started
-    body = segments.withColumn("body", split_lines(F.col("text")))
-    if seeds is None:
-        body = body.withColumn("seed", F.lit(0).cast("long"))
-    else:
-        known = seeds.select("module", F.col("next_index").cast("long").alias("seed"))
-        body = body.join(known, "module", "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
-    per_line = F.transform("body", lambda line: pick(
-        rule_sets, lambda r: F.when(is_hit(line, r), hit_count(line, r)).otherwise(0)))
-    counted = body.select(
-        "module", "file_path", "pipeline", "generation", "segment", "arrived", "text", fresh.alias("fresh"), "seed",
-        F.size("body").cast("long").alias("n_lines"),
-        F.aggregate(per_line, F.lit(0), lambda a, n: a + n).cast("long").alias("n_hits"),
-        F.slice("body", F.greatest(F.lit(1), F.size("body") - prefix + 1), prefix).alias("final_lines"))
-    return counted.groupBy("module").applyInPandasWithState(
-        numbering(prefix), NUMBERED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return run
 
 
-def findings_of(numbered: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, suffix: int = 0, limit: int = 20,
-                compat_prefix: bool = False) -> DataFrame:
-    """Findings of numbered segments; lines after a match come from its own segment only."""
-    bodies = numbered.where("fresh").withColumn("body", split_lines(F.col("text")))
-    return find_in_texts(bodies, rule_sets, prefix, suffix, limit, compat_prefix=compat_prefix)
+def watching(places: str, action, quiet_minutes: int):
+    """`action` gets the silences of modules, longer than `quiet_minutes`: one row for each, in the first batch whose
+    newest arrival is that much later. A module is told of again after its next segment only, also after a restart."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = Places(batch.sparkSession, places)
+        kept.number(batch, batch_id, [RuleSet("none")], quiet_minutes=quiet_minutes)
+        action(kept.alarms, batch_id)
+        kept.keep(batch_id)
+
+    return run
+
+
+def as_table(output: str):
+    """An action that writes the rows of each batch to a table of its own folder; a batch that runs again replaces it."""
+    return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{output}/part={batch_id}")
 
 
-def follow(segments: DataFrame, rule_sets: list[RuleSet], prefix: int = 0, suffix: int = 0, limit: int = 20,
-           started: Column | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    return findings_of(numbered_segments(segments, rule_sets, prefix, started, seeds), rule_sets, prefix, suffix, limit)
+def run_batches(stream: DataFrame, work, output: str, checkpoint: str) -> DataFrame:
+    """Process what has arrived by `work` (rows, id), whose action writes `as_table`, and read back what it wrote."""
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.option("basePath", output).parquet(output).drop("part")
 
 
 def first_sightings(findings: DataFrame, delay: str = "1 day") -> DataFrame:
