@@ -138,7 +138,7 @@ def test_a_silence_is_told_once(spark, tmp_path):
         work = follow.watching(f"{out}-places", follow.as_table(out), 5)
         rows = follow.run_batches(follow.table_segments(spark, landing), work, out, f"{out}-checkpoint")
         told.append(sorted((r.module, r.silent_since.minute, r.alarm_at.minute) for r in rows.collect()))
-    assert told == [[], [], [("a", 0, 5)], [("a", 0, 5)], [("a", 0, 5), ("a", 3, 8)], [("a", 0, 5), ("a", 12, 17), ("a", 3, 8), ("b", 11, 16)]]
+    assert told == [[], [], [("a", 0, 5)], [("a", 0, 5)], [("a", 0, 5), ("a", 3, 8)], [("a", 0, 5), ("a", 3, 8), ("a", 12, 17), ("b", 11, 16)]]
 
 
 def test_two_logs_of_one_module(spark, tmp_path):
