@@ -295,9 +295,14 @@ def linked_classes(
     counts = found.where("node IS NOT NULL").select("node", "n").union(own).union(whole).groupBy("node").agg(F.sum("n").alias("n_links"))
     ties = taking.where("tied >= 0").select(F.col("comp").alias("a"), F.col("tied").alias("b")).distinct()
     rooted = components(found.where("a IS NOT NULL").select("a", "b").union(ties))
-    # A core is one node of the components; its members have the core's.
-    comps = taking.where("home").select("node", "comp").join(
-        rooted.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
+    # A core is one node of the components; its members have the core's. There are no more cores than pivots, so their
+    # roots go to the members; other vectors meet theirs by their own number.
+    core_nodes = [c["core_node"] for c in cells.values() if c["core_node"] >= 0]
+    core_roots = stage(rooted.where(F.col("node").isin(core_nodes)), "core-roots").withColumnRenamed("node", "comp")
+    inside = taking.where("home AND core").select("node", "comp").join(F.broadcast(core_roots), "comp", "left")
+    outside = taking.where("home AND NOT core").select("node", F.col("node").alias("comp")).join(rooted, "node", "left")
+    comps = inside.select("node", "comp", "root").union(outside.select("node", "comp", "root")).select(
+        "node", F.coalesce("root", "comp").alias("root"))
     named = stage(comps.join(counts, "node").join(vectors.select("node", "hash", "smallest"), "node"), "linked")
     ids = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
     known = named.join(ids, "root").select("hash", "n_links", "component_id")
