@@ -26,9 +26,38 @@ def test_escapes():
     assert decode_escapes("bad\\") == "bad\\"
 
 
-def test_conditional_groups_are_refused():
-    with pytest.raises(ValueError):
-        java(r"(a)?b(?(1)c|d)")
+CONDITIONS = [
+    r"(a)?b(?(1)c|d)", r"(<)?\w+(?(1)>|$)", r"(?P<q>[\"'])?\w+(?(q)(?P=q))", r"(x)?(y)?(?(2)z|w)(o)\3?", r"(a)(?:(b)|c)+(?(2)d|e)\1",
+    r"((a)|b)(?(2)[)|(]|x(y))(?(1)!)", r"(\()?a|b(?(1)\)|c)", r"(?P<a_b>x)(?P<ab>y)", r"(?P<Z_>x)?(?P<Zu>y)(?P=Zu)(?(Z_)q)", r"(?:(a)|b)(?(1)(c)|(d))\2?",
+]
+CONDITION_SAMPLES = [
+    "abc bd abd bc", "<ab> ab> <ab", "'ab' 'ab ab\"", "xyzoo yzo xwoo woo wo", "abdа abda aceacea abcda", "a) a( bxy! a)!", "(a bc b) a(", "xy", "yyq xyyq xyy", "", "ac bd acc bdd",
+]
+
+
+def test_conditions_on_later_groups_are_refused():
+    for pattern in (r"b(?(1)c|d)(a)", r"(?x)(a)?b(?(1)c|d) # (note"):
+        with pytest.raises(ValueError):
+            java(pattern)
+
+
+@pytest.mark.parametrize("pattern", CONDITIONS)
+def test_conditions_as_in_python(spark, pattern):
+    df = spark.createDataFrame([(s,) for s in CONDITION_SAMPLES], "s string")
+    rows = df.select("s", any_match(F.col("s"), [pattern, "no such text"]).alias("hit"), find_all(F.col("s"), pattern).alias("found")).collect()
+    for row in rows:
+        assert row.hit == bool(re.search(pattern, row.s)), (pattern, row.s)
+        assert row.found == [m.group(0) for m in re.finditer(pattern, row.s)], (pattern, row.s)
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("abc", max_size=9), st.sampled_from(["(a)?b(?(1)c|a)", "(?:(a)|(b))(?(2)c|(b))\\1?", "(?P<o_o>a)?(?P<oo>b)?(?(o_o)c|(?(oo)a|b))"]))
+def test_conditions_on_any_text(spark, text, pattern):
+    found = spark._jvm.java.util.regex.Pattern.compile(java(pattern)).matcher(text)
+    ours = []
+    while found.find():
+        ours.append((found.start(), found.end()))
+    assert ours == [m.span() for m in re.finditer(pattern, text)]
 
 
 @pytest.mark.parametrize("pattern,ignore_case", PATTERNS)
