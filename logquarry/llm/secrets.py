@@ -10,13 +10,16 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logquarry.llm.common import arrow_batches, documents, extended, query
+from logquarry.staging import stage
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -116,9 +119,9 @@ def train(secret: list[str], ordinary: list[str]) -> Models:
     return Models(ratios, max(0.0, highest + 0.1 * max(0.0, middle - highest), float(np.quantile(marks, 0.01))))
 
 
-def samples(docs: DataFrame) -> tuple[list[str], list[str]]:
+def samples(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> tuple[list[str], list[str]]:
     """Labelled strings of the corpus: values the fixed patterns find are secrets, other identifiers are ordinary."""
-    some = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(TRAIN_DOCUMENTS)
+    some = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(documents)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text")
 
     def work(batch):
@@ -134,7 +137,7 @@ def samples(docs: DataFrame) -> tuple[list[str], list[str]]:
         listed = sorted(out)
         yield {"sample": pa.array([s for s, _ in listed], pa.string()), "secret": pa.array([x for _, x in listed], pa.bool_())}
 
-    strings = arrow_batches(texts, "sample string, secret boolean", work).distinct()
+    strings = stage(arrow_batches(texts, "sample string, secret boolean", work).distinct(), "training-strings")
     kinds = []
     for secret in (True, False):
         rows = strings.where(F.col("secret") == secret).orderBy(F.md5("sample"), "sample").limit(TRAIN_STRINGS).select("sample").collect()
@@ -142,21 +145,25 @@ def samples(docs: DataFrame) -> tuple[list[str], list[str]]:
     return kinds[0], kinds[1]
 
 
-def learn(docs: DataFrame) -> Models:
-    secret, ordinary = samples(docs)
+def learn(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Models:
+    """Models from the strings of at most `documents` documents."""
+    secret, ordinary = samples(docs, documents)
     return train(drawn(2 * TRAIN_STRINGS // 5) + secret, ordinary)
 
 
 def all_spans(text: str, models: Models) -> tuple[list, list]:
     """The fixed spans, and these with the random-looking strings that overlap none of them, by start, then kind."""
     base = base_spans(text)
+    # A candidate overlaps a fixed span if one of those that start before its end reaches beyond its start.
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     added = []
     if any(len(w) >= 20 for w in text.split()):
         for m in CANDIDATE.finditer(text):
             value = m[0]
-            if any(c.isalpha() for c in value) and models.score(value) > models.threshold \
-                    and not any(a < m.end() and m.start() < b for a, _, b in base):
-                added.append((m.start(), 3, m.end()))
+            if any(c.isalpha() for c in value) and models.score(value) > models.threshold:
+                before = bisect_left(starts, m.end())
+                if not before or reach[before - 1] <= m.start():
+                    added.append((m.start(), 3, m.end()))
     return base, sorted(base + added)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 
@@ -61,3 +62,19 @@ def test_odd_rows(spark, table):
     docs = table(spark)
     rows = secrets.scan(docs, secrets.learn(docs), ["doc_id", "text"]).collect()
     assert len(rows) == docs.count() and all(r["base_spans"] == secrets.joined(slow_spans(r["text"])) for r in rows)
+
+
+def test_many_spans_in_one_text():
+    models = secrets.train(secrets.drawn(400), ["ordinary_name", "another-identifier", "some_function_name"] * 30)
+    draw = random.Random(3)
+    key = lambda n: "".join(draw.choices(string.ascii_letters + string.digits, k=n))
+    text = " ".join(draw.choice((f"token={key(24)}", key(30), f"secret: {key(9)}/{key(22)}", f"{key(21)}token={key(30)}", "word")) for _ in range(600))
+    base, spans = secrets.all_spans(text, models)
+    added = [s for s in spans if s not in set(base)]
+    wanted = [(m.start(), 3, m.end()) for m in secrets.CANDIDATE.finditer(text)
+              if any(c.isalpha() for c in m[0]) and models.score(m[0]) > models.threshold
+              and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert added == wanted and len(wanted) > 50
+    begun = time.time()
+    secrets.all_spans(" ".join(f"token={key(24)} {key(30)}" for _ in range(20_000)), models)
+    assert time.time() - begun < 20
