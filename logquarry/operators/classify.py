@@ -20,7 +20,7 @@ from logquarry.operators.ordered import BLOCK_BITS, along
 from logquarry.operators.rules import CHUNK_CLASSIFIERS, HIT_TYPE, Chunk, hits, is_hit, message, pick, rules_in_order
 from logquarry.schema import SEVERITY_RANK
 from logquarry.spec import RuleSet
-from logquarry.staging import broadcast_if_small, stage
+from logquarry.staging import broadcast_if_small, only_wanted, stage
 
 IDS = ["file_path", "module", "pipeline", "mtime"]
 
@@ -79,8 +79,9 @@ def with_excerpts(rows: DataFrame, matched: DataFrame, lines: DataFrame, prefix:
                   compat_prefix: bool = False, staged: bool = True) -> DataFrame:
     """Add to `rows` the excerpt: lines before, the match, lines after, cut to `limit` lines around the match.
 
-    `matched` are the same lines with their places. The wanted positions are joined to the lines on (file, line number),
-    so the work follows the number of matches; the planner sends few positions to the lines and shuffles many. Lines
+    `matched` are the same lines with their places. Lines are gathered in blocks at least as long as a window, each
+    wanted block once; a match meets the one or two blocks that its window lies in and takes its lines from them. The
+    work follows the number of lines and matches, not matches times the window, also where every line matches. Lines
     before the match that its chunk lacks are taken from in front of the chunk. `compat_prefix` repeats those lines also
     where nothing is lacking.
     """
@@ -93,18 +94,31 @@ def with_excerpts(rows: DataFrame, matched: DataFrame, lines: DataFrame, prefix:
         lacking = F.when(lacking == 0, prefix).otherwise(lacking)
     borrowed = F.least(lacking, F.col("chunk_start") - 1)
     final = F.least(at + suffix, F.coalesce(F.col("stop") - 1, at + suffix))
-    positions = F.concat(
-        F.when(borrowed > 0, F.sequence(F.col("chunk_start") - borrowed, F.col("chunk_start") - 1))
-        .otherwise(F.array().cast("array<bigint>")),
-        F.sequence(first, final))
-    wanted = unfold(matched, ["file_path", "line_no", (borrowed + at - first).cast("int").alias("match_slot")],
-                    positions, "wanted_no", "slot")
-    source = lines.select("file_path", F.col("line_no").alias("wanted_no"), F.col("line").alias("context_line"))
+    bits = max(3, (prefix + suffix).bit_length())
+
+    def part(low: Column, high: Column, slot: Column) -> Column:
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), slot.cast("int").alias("slot"))
+
+    parts = F.array(part(F.col("chunk_start") - borrowed, F.col("chunk_start") - 1, F.lit(0)), part(first, final, borrowed))
+    pieces = unfold(matched, ["file_path", "line_no", (borrowed + at - first).cast("int").alias("match_slot")],
+                    parts, "part").where("part.low <= part.high")
+    probes = unfold(pieces, ["file_path", "line_no", "match_slot", "part"],
+                    F.sequence(F.shiftright("part.low", bits), F.shiftright("part.high", bits)), "block")
+    numbered = lines.select("file_path", F.shiftright("line_no", bits).alias("block"), F.struct("line_no", "line").alias("row"))
+    wanted = probes.select("file_path", "block").distinct()
+    if staged:
+        kept = only_wanted(numbered, ["file_path", "block"], stage(wanted, "blocks"))
+    else:
+        kept = numbered.join(wanted, ["file_path", "block"], "left_semi")
+    blocks = kept.groupBy("file_path", "block").agg(F.collect_list("row").alias("rows"))
+    inside = F.filter("rows", lambda r: r["line_no"].between(F.col("part.low"), F.col("part.high")))
+    found = F.transform(inside, lambda r: F.struct(
+        (r["line_no"] - F.col("part.low") + F.col("part.slot")).cast("int").alias("slot"), r["line"].alias("context_line")))
     context = (
-        wanted.join(source, ["file_path", "wanted_no"])
+        probes.join(blocks, ["file_path", "block"])
+        .select("file_path", "line_no", "match_slot", found.alias("found"))
         .groupBy("file_path", "line_no")
-        .agg(F.max("match_slot").alias("match_slot"),
-             F.array_sort(F.collect_list(F.struct("slot", "context_line"))).alias("found"))
+        .agg(F.max("match_slot").alias("match_slot"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
         .select("file_path", "line_no", cap(F.col("found.context_line"), F.col("match_slot"), limit).alias("excerpt"))
     )
     return rows.join(context, ["file_path", "line_no"])

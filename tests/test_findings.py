@@ -223,3 +223,14 @@ def test_presets(make_bodies):
     body = ["GET / 503 x", "slow query", "health check 503 x", "Cache refresh completed in 3ms timeout", "deprecated"]
     rows = find_in_texts(make_bodies({"f": body}), [RuleSet("rules", errors=errors, warnings=warnings, ignores=ignores)])
     assert sorted((r.line_start, r.severity) for r in rows.collect()) == [(1, "ERROR"), (2, "WARNING"), (5, "WARNING")]
+
+
+def test_excerpts_where_every_line_matches(make_lines):
+    """50 lines around each of 400 matches: excerpts are windows of the file, and no row is made for a line of a window."""
+    body = [f"error {i}" for i in range(400)]
+    sets = [RuleSet("rules", errors=("error",))]
+    rows = find_in_lines(make_lines({"dense.log": body}), sets, 50, 50, limit=200).collect()
+    assert len(rows) == 400
+    for r in rows:
+        at = r.physical_line_no - 1
+        assert r.excerpt == body[max(0, at - 50):at + 51]
