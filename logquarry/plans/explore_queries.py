@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logquarry.operators import explore
+from logquarry.operators import explore, line_store
 from logquarry.operators.rules import PRESET_RULES
 from logquarry.plans.log_queries import LICENSE_FINDINGS, LICENSES, license_findings, lines
 from logquarry.plans.registry import FOUND, LOGS, query
 from logquarry.plans.store_queries import TEMPLATE
 from logquarry.sources.tables import event_findings
+from logquarry.staging import new_folder
 
 PAGE = """shown AS (SELECT l.*, total FROM lines l JOIN (SELECT file_path, max(line_no) AS total FROM lines GROUP BY 1) t
   USING (file_path) WHERE line_no > total - 1 - 3 AND line_no <= total - 1)"""
@@ -22,6 +23,15 @@ def log_page(spark, folder):
     return explore.page(lines(spark, folder), limit=3, offset=1, max_chars=60).drop("module")
 
 
+@query("log_page_stored", f"""WITH {LOGS}, {PAGE} SELECT file_path, module, line_no, substr(line, 1, 60) AS line,
+  greatest(0, total - 4) + 1 AS start_line, total AS total_lines, greatest(0, total - 4) > 0 AS has_more,
+  1 + (total - 1) - greatest(0, total - 4) AS next_offset FROM shown WHERE file_path = (
+    SELECT file_path FROM lines GROUP BY 1 ORDER BY max(line_no) DESC, file_path LIMIT 1)""")
+def log_page_stored(spark, folder):
+    store = line_store.store_lines(lines(spark, folder), new_folder(spark, "line-store"))
+    return line_store.stored_page(spark, store, line_store.longest_log(spark, store), limit=3, offset=1, max_chars=60)
+
+
 VIEW = f"""{LICENSE_FINDINGS}, {PAGE},
 numbered AS (SELECT *, doc_id * 4294967296 + finding_index AS id FROM findings),
 newest AS (SELECT file_path, line_start AS line_no, max(id) AS id, arg_max(severity, id) AS severity,

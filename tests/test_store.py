@@ -194,3 +194,22 @@ def test_log_view(make, make_lines):
         ("ERROR", 2), ("INFO", 8), ("WARNING", 7)]
     assert explore.displayed_findings(view).first().n_findings == 5
     assert {r.id: r.example for r in explore.line_examples(view).collect()}[4] == "hit b"
+
+
+def test_stored_pages_read_only_their_parts(spark, make_lines, tmp_path):
+    from logquarry.operators import line_store
+
+    read = []
+    for n in (100, 1000):
+        lines = make_lines({"long 1%.log": [f"row {i}" for i in range(1, n + 1)], "a.log": ["x"], "b.log": [f"y{i}" for i in range(30)]})
+        store = line_store.store_lines(lines, str(tmp_path / f"store {n}"), part_lines=20)
+        assert line_store.longest_log(spark, store) == "long 1%.log"
+        for name in ("long 1%.log", "a.log", "b.log"):
+            for limit, offset in ((5, 0), (7, 13), (2000, 0), (3, 1), (5, 5000)):
+                page = line_store.stored_page(spark, store, name, limit, offset)
+                whole = explore.page(lines.where(f"file_path = '{name}'"), limit, offset)
+                assert page.columns == whole.columns
+                assert sorted(map(tuple, page.collect())) == sorted(map(tuple, whole.collect()))
+        read.append(len(line_store.stored_page(spark, store, "long 1%.log", 5, 40).inputFiles()))
+    assert max(read) <= 2
+    assert line_store.stored_page(spark, store, "none.log").count() == 0
