@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import base_name, split_lines, suffix
-from logquarry.operators import documents, knowledge, payloads, retrieval
+from logquarry.operators import chunk_index, documents, knowledge, payloads, retrieval
 from logquarry.plans.registry import LOGS, query
 from logquarry.sources.tables import document_logs, spread, table
 from logquarry.sources.text_logs import scan_documentation
@@ -153,6 +153,21 @@ def knn(spark, folder):
 OWN = "(c_label = q_label OR c_label = (q_label + 3) % 10)"
 
 
+@query("knn_indexed")
+def knn_indexed(spark, folder):
+    index = chunk_index.build(vector_chunks(spark, folder))
+    return chunk_index.search(index, vector_queries(spark, folder), 5).select(
+        "query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("knn_index_recall", f"""WITH {PAIRS} SELECT count(*) AS hits, true AS enough FROM (SELECT row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 5""")
+def knn_index_recall(spark, folder):
+    queries, chunks = vector_queries(spark, folder), vector_chunks(spark, folder)
+    found = chunk_index.search(chunk_index.build(chunks), queries, 5)
+    return chunk_index.recall(found, retrieval.nearest(queries, chunks, 5)).select("hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("knn_repo", f"""WITH {PAIRS} SELECT query_id, chunk_id, score, rank FROM (SELECT *,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pairs WHERE {OWN}) WHERE rank <= 5""")
 def knn_repo(spark, folder):
