@@ -21,8 +21,8 @@ from logquarry.staging import stage
 SAMPLE = 20_000
 MAX_CELLS = 2048
 ROUNDS = 10
-# Part of the cells that a query looks into, and the least number of them.
-PROBED, LEAST_PROBES = 0.25, 8
+# The number of cells a query looks into is fitted so that this part of the neighbours of sample chunks is found.
+WANTED, NEIGHBOURS, ASKED = 0.95, 10, 500
 
 
 @dataclass(frozen=True)
@@ -31,10 +31,7 @@ class ChunkIndex:
 
     cells: DataFrame
     centres: np.ndarray
-
-    @property
-    def probes(self) -> int:
-        return min(len(self.centres), max(LEAST_PROBES, round(PROBED * len(self.centres))))
+    probes: int
 
 
 def fitted(vectors: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -50,6 +47,18 @@ def fitted(vectors: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def enough_probes(vectors: np.ndarray, centres: np.ndarray) -> int:
+    """The least number of cells that hold WANTED of the nearest neighbours, within the sample, of ASKED sample vectors.
+    Neighbours in the whole table are nearer than those in a sample, so this number errs to the large side."""
+    asked = vectors[:ASKED]
+    scores = asked @ vectors.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, :min(NEIGHBOURS, max(1, len(vectors) - 1))]
+    own = np.argmax(vectors @ centres.T, axis=1)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+    return int(np.quantile(np.take_along_axis(place, own[near], axis=1), WANTED, method="higher")) + 1
+
+
 def closest(centres: np.ndarray, n: int):
     """A pandas UDF: the `n` cells nearest to a vector, the nearest first."""
     small = centres.astype(np.float32)
@@ -71,14 +80,15 @@ def build(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
     rows = chunks.where("vector IS NOT NULL").select("chunk_id", F.col("vector").cast("array<float>").alias("vector"))
     some = rows.orderBy(F.md5(F.col("chunk_id").cast("string")), "chunk_id").limit(sample).select("vector").toPandas()
     if some.empty:
-        return ChunkIndex(stage(rows.withColumn("cell", F.lit(0)), "cells"), np.zeros((1, 1)))
+        return ChunkIndex(stage(rows.withColumn("cell", F.lit(0)), "cells"), np.zeros((1, 1)), 1)
     wanted = cells or min(MAX_CELLS, round(rows.count() ** 0.5), max(1, len(some) // 4))
-    centres = fitted(unit(some.vector), max(1, min(wanted, len(some))))
+    vectors = unit(some.vector)
+    centres = fitted(vectors, max(1, min(wanted, len(some))))
     placed = rows.withColumn("cell", F.get(closest(centres, 1)("vector"), F.lit(0)))
     # In the order of cells, so that a search with few queries skips the row groups of other cells; a cell that holds
     # much of the table is still written by many tasks.
     placed = stage(placed, "placed-chunks").repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell")
-    return ChunkIndex(stage(placed, "cells"), centres)
+    return ChunkIndex(stage(placed, "cells"), centres, enough_probes(vectors, centres))
 
 
 def search(index: ChunkIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
