@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from logquarry.functions.arrays import unfold
-from logquarry.operators.retrieval import nearest, unit
+from logquarry.operators.retrieval import CHUNK_TILE, LARGEST_TILE, TILES, nearest, unit
 from logquarry.staging import stage
 
 # Chunks the centres are fitted on, the first in the order of md5 of their id; these alone go to the driver.
@@ -94,13 +94,47 @@ def build(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
 def search(index: ChunkIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """The k best chunks per query (query_id, vector) among those of its `probes` nearest cells, as `nearest` gives them.
 
-    A cell is a bucket of `nearest`: its queries and chunks meet in tiles, so a cell of any size is bounded work."""
+    Cells are put together to groups of about a tile of chunks. A group is a bucket of `nearest`: a query is sent once to
+    each group that has a cell of it, however many cells it looks into, and its queries and chunks meet in tiles, so a
+    cell of any size is bounded work."""
     n = min(len(index.centres), probes or index.probes)
     if index.cells.isEmpty():
         return nearest(queries, index.cells, k)
     asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<float>").alias("vector"))
-    each = unfold(asked, ["query_id", "vector"], closest(index.centres, n)("vector"), "cell")
-    return nearest(stage(each, "probes"), index.cells, k, bucket="cell")
+    groups = cell_groups(index)
+    each = unfold(asked, ["query_id", "vector"], grouped(index.centres, n, groups)("vector"), "g").select(
+        "query_id", "vector", "g.part", "g.cells")
+    number = F.get(F.lit(groups), F.col("cell"))
+    return nearest(stage(each, "probes"), index.cells.withColumn("part", number), k, bucket="part", by_cell=True)
+
+
+def cell_groups(index: ChunkIndex) -> list[int]:
+    """The group of each cell. A group is full with as many chunks as a tile of `nearest` has, so that it is cut no further
+    unless a single cell is larger."""
+    sizes = np.zeros(len(index.centres), np.int64)
+    for row in index.cells.groupBy("cell").count().collect():
+        sizes[row["cell"]] = row["count"]
+    full = min(LARGEST_TILE, max(CHUNK_TILE, -(-int(sizes.sum()) // TILES)))
+    return ((np.cumsum(sizes) - 1).clip(0) // full).tolist()
+
+
+def grouped(centres: np.ndarray, n: int, groups: list[int]):
+    """A pandas UDF: the `n` cells nearest to a vector, by their groups."""
+    small, number = centres.astype(np.float32), np.array(groups)
+
+    @F.pandas_udf("array<struct<part:int,cells:array<int>>>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        def by_group(near):
+            near = np.sort(near)
+            parts, starts = np.unique(number[near], return_index=True)
+            return [{"part": int(p), "cells": c} for p, c in zip(parts, np.split(near.astype(np.int32), starts[1:]), strict=True)]
+
+        if vectors.empty:
+            return pd.Series([], dtype=object)
+        scores = unit(vectors).astype(np.float32) @ small.T
+        return pd.Series([by_group(near) for near in np.argsort(-scores, axis=1, kind="stable")[:, :n]])
+
+    return cells
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -30,9 +30,13 @@ TOP_K = 5
 THRESHOLD = 0.7
 MAX_CHUNKS = 10
 
-# Queries and chunks per unit of scoring work. A unit holds about 1024 x 384 + 4096 x 384 numbers.
+# Queries and chunks per unit of scoring work, at least. Every row is sent to all tiles of the other side, so tiles grow
+# with the table: a side is cut into TILES of them until they have LARGEST_TILE rows, which bounds the memory of a unit.
 QUERY_TILE = 1024
 CHUNK_TILE = 4096
+TILES, LARGEST_TILE = 8, 32_768
+# Scores that a unit holds at once.
+SCORES = 1 << 22
 SCORE_DIGITS = 6
 
 
@@ -57,20 +61,24 @@ def query_text(message: Column, excerpt: Column, pipeline: Column) -> Column:
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None = None,
-            query_tile: int = QUERY_TILE, chunk_tile: int = CHUNK_TILE) -> DataFrame:
+            query_tile: int = QUERY_TILE, chunk_tile: int = CHUNK_TILE, by_cell: bool = False) -> DataFrame:
     """The k chunks with the greatest inner product of unit vectors per query: query_id, chunk_id, score, rank.
 
     queries (query_id, vector), chunks (chunk_id, vector); with `bucket` a column of both, only equal buckets are
-    compared, and a query may appear in several buckets. Scoring is exact. Both sides are cut into tiles, tile against
-    tile is one bounded unit of work that gives back k rows per query, and the units of a query are merged by rank.
+    compared, and a query may appear in several buckets. Scoring is exact. Both sides are cut into tiles of `query_tile`
+    and `chunk_tile` rows or more (see TILES), tile against tile is one bounded unit of work that gives back k rows per
+    query, and the units of a query are merged by rank. With `by_cell` a chunk has a number `cell`, and a query is compared
+    with the chunks of its `cells` only.
     """
     mark = F.col(bucket).cast("string") if bucket else F.lit("")
-    q = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
-    c = chunks.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"))
+    q_more, c_more = (["cells"], ["cell"]) if by_cell else ([], [])
+    q = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"), *q_more)
+    c = chunks.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"), mark.alias("bucket"), *c_more)
 
     def sized(df: DataFrame, tile: int, name: str) -> DataFrame:
         counted = df.groupBy("bucket").agg(F.count("*").alias("n"))
-        return counted.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias(name))
+        fewest = F.greatest(F.lit(TILES), F.ceil(F.col("n") / LARGEST_TILE))
+        return counted.select("bucket", F.least(F.ceil(F.col("n") / tile), fewest).cast("int").alias(name))
 
     if bucket:
         # One row per bucket; vectors meet it where they are, without a shuffle by bucket.
@@ -78,29 +86,31 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None =
             sized(q, query_tile, "query_tiles").join(sized(c, chunk_tile, "chunk_tiles"), "bucket"), "tiles"))
         q, c = q.join(tiles, "bucket"), c.join(tiles, "bucket")
     else:
-        sizes = {"query_tiles": F.lit(-(-q.count() // query_tile)), "chunk_tiles": F.lit(-(-c.count() // chunk_tile))}
+        def tiles_of(n: int, tile: int) -> Column:
+            return F.lit(min(-(-n // tile), max(TILES, -(-n // LARGEST_TILE))))
+
+        sizes = {"query_tiles": tiles_of(q.count(), query_tile), "chunk_tiles": tiles_of(c.count(), chunk_tile)}
         q, c = q.withColumns(sizes), c.withColumns(sizes)
 
-    def spread(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+    def spread(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str, more: list[str]) -> DataFrame:
         rows = df.where(F.col(other) > 0).select(
-            key, "vector", "bucket", F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own_name),
+            key, "vector", "bucket", *more, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own_name),
             F.sequence(F.lit(0), F.col(other) - 1).alias("others"))
-        return unfold(rows, [key, "vector", "bucket", own_name], "others", other_name)
+        return unfold(rows, [key, "vector", "bucket", *more, own_name], "others", other_name)
 
     keys = ["bucket", "query_part", "chunk_part"]
-    left = spread(q, "query_id", "query_tiles", "chunk_tiles", "query_part", "chunk_part")
-    right = spread(c, "chunk_id", "chunk_tiles", "query_tiles", "chunk_part", "query_part")
+    left = spread(q, "query_id", "query_tiles", "chunk_tiles", "query_part", "chunk_part", q_more)
+    right = spread(c, "chunk_id", "chunk_tiles", "query_tiles", "chunk_part", "query_part", c_more)
 
     def score(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or offered.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         offered = offered.sort_values("chunk_id", kind="stable")
-        scores = np.round(unit(asked.vector) @ unit(offered.vector).T, SCORE_DIGITS) + 0.0
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        left, right = unit(asked.vector), unit(offered.vector)
+        rows, columns, scores = best_in_cells(
+            left, asked.cells, right, offered.cell.to_numpy(), k) if by_cell else best_of(left, right, k)
         return pd.DataFrame({
-            "query_id": np.repeat(asked.query_id.to_numpy(), best.shape[1]),
-            "chunk_id": offered.chunk_id.to_numpy()[best.ravel()],
-            "score": np.take_along_axis(scores, best, axis=1).ravel()})
+            "query_id": asked.query_id.to_numpy()[rows], "chunk_id": offered.chunk_id.to_numpy()[columns], "score": scores})
 
     types = {"query_id": q.schema["query_id"].dataType.simpleString(),
              "chunk_id": c.schema["chunk_id"].dataType.simpleString()}
@@ -110,6 +120,49 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None =
     return units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(asked: np.ndarray, offered: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores): for each row of `asked` the k rows of `offered` with the greatest rounded inner products,
+    the first ones of equal products; those that are no numbers come last."""
+    known = not (np.isnan(asked).any() or np.isnan(offered).any())
+    parts, step = [], max(1, SCORES // len(offered))
+    for at in range(0, len(asked), step):
+        scores = asked[at:at + step] @ offered.T
+        if known and k < len(offered):
+            # Rounding lifts a score over a greater one by less than one unit of the last digit.
+            least = np.partition(scores, -k, axis=1)[:, -k, None] - 10.0 ** -SCORE_DIGITS * 1.01
+            rows, columns = np.nonzero(scores >= least)
+        else:
+            rows, columns = (x.ravel() for x in np.indices(scores.shape))
+        parts.append(first_of(rows + at, columns, np.round(scores[rows, columns], SCORE_DIGITS) + 0.0, k))
+    rows, columns, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return rows, columns, found
+
+
+def first_of(rows: np.ndarray, columns: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, in order."""
+    order = np.lexsort((columns, -found, rows))
+    rows, columns, found = rows[order], columns[order], found[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], columns[first], found[first]
+
+
+def best_in_cells(
+    asked: np.ndarray, cells: pd.Series, offered: np.ndarray, cell: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best_of`, where each row of `asked` meets those rows of `offered` only whose cell is among its `cells`."""
+    owner = np.repeat(np.arange(len(asked)), cells.map(len).to_numpy())
+    wanted = np.concatenate(cells.to_numpy())
+    by_query, by_chunk = np.argsort(wanted, kind="stable"), np.argsort(cell, kind="stable")
+    owner, wanted, sorted_cell = owner[by_query], wanted[by_query], cell[by_chunk]
+    parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.float64))]
+    for one in np.intersect1d(wanted, sorted_cell):
+        who = owner[slice(*np.searchsorted(wanted, [one, one + 1]))]
+        what = by_chunk[slice(*np.searchsorted(sorted_cell, [one, one + 1]))]
+        rows, columns, found = best_of(asked[who], offered[what], k)
+        parts.append((who[rows], what[columns], found))
+    return first_of(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
+
+
 def unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack(vectors.to_numpy()).astype(np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -135,6 +135,40 @@ def test_nearest_is_exact_for_any_tiling(spark):
             assert [got[(q, k)] for k in range(1, 5)] == best
 
 
+def test_nearest_sends_rows_a_bounded_number_of_times(spark, monkeypatch):
+    """Small tiles do not send every row to as many units as the table has tiles; equal scores still go by id."""
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    data, rows = vectors(spark, 200, 4, 5, repeat=True)
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), "vector", "repo_id")
+    unit = data.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    seen = spark.sparkContext.accumulator(0)
+    plain = retrieval.best_of
+
+    def counted(asked, offered, k):
+        seen.add(len(asked))
+        return plain(asked, offered, k)
+
+    monkeypatch.setattr(retrieval, "best_of", counted)
+    for bucket in (None, "repo_id"):
+        seen.value = 0
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.nearest(queries, chunks, 3, bucket, 2, 2).collect()}
+        assert 200 <= seen.value <= 200 * retrieval.TILES
+        for q in range(200):
+            own = [c for c in range(200) if bucket is None or c % 3 == q % 3]
+            best = sorted(own, key=lambda c: (-scores[q, c], c))[:3]
+            assert [got[(q, k)] for k in range(1, 4)] == best
+
+
+def test_best_rows_without_numbers_come_last():
+    asked, offered = np.eye(2), np.array([[np.nan, 0], [0.5, 0], [0.25, 0.1], [0.5, 0]])
+    rows, columns, scores = retrieval.best_of(asked, offered, 3)
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and columns.tolist() == [1, 3, 2, 2, 1, 3]
+    assert scores.tolist() == [0.5, 0.5, 0.25, 0.1, 0, 0]
+
+
 def test_fewer_chunks_than_k_and_buckets(spark):
     _, rows = vectors(spark, 5, 4, 2)
     chunks = spark.createDataFrame(rows, CHUNKS)
@@ -203,7 +237,7 @@ def test_documentation_for_findings(spark):
     assert rows[2].context is None
 
 
-def test_indexed_chunks(spark):
+def test_indexed_chunks(spark, monkeypatch):
     """All cells give the exact answer; the probes of the default find nine tenths of it; odd tables give defined results."""
     from logquarry.operators import chunk_index
 
@@ -221,5 +255,17 @@ def test_indexed_chunks(spark):
     assert sorted(map(tuple, every.select("query_id", "rank", "chunk_id").collect())) == expected
     found = chunk_index.recall(chunk_index.search(index, queries, 5), exact).first()
     assert found["hits"] == 750 and found["recall"] >= 0.9
+    # Cells of several groups: the same as with a bucket for each cell, and each query goes once to a group.
+    monkeypatch.setattr(chunk_index, "CHUNK_TILE", 100)
+    monkeypatch.setattr(chunk_index, "TILES", 6)
+    groups = chunk_index.cell_groups(index)
+    assert len(groups) == 39 and groups == sorted(groups) and 4 <= len(set(groups)) <= 7
+    sent = queries.select("query_id", F.explode(chunk_index.grouped(index.centres, 20, groups)("vector")).alias("g"))
+    assert sent.groupBy("query_id", "g.part").count().where("count > 1").count() == 0
+    assert {r.n for r in sent.groupBy("query_id").agg(F.sum(F.size("g.cells")).alias("n")).collect()} == {20}
+    cells = queries.select("query_id", "vector", F.explode(chunk_index.closest(index.centres, 20)("vector")).alias("cell"))
+    plain = retrieval.nearest(cells, index.cells, 5, bucket="cell").select("query_id", "rank", "chunk_id")
+    several = chunk_index.search(index, queries, 5, probes=20).select("query_id", "rank", "chunk_id")
+    assert sorted(map(tuple, several.collect())) == sorted(map(tuple, plain.collect()))
     assert chunk_index.search(chunk_index.build(chunks.limit(0)), queries, 5).count() == 0
     assert chunk_index.search(index, queries.limit(0), 5).count() == 0
