@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.text import base_name, split_lines, suffix
 from logquarry.operators import chunk_index, documents, knowledge, payloads, retrieval
 from logquarry.plans.registry import LOGS, query
-from logquarry.sources.tables import document_logs, spread, table
+from logquarry.sources.tables import document_logs, file_folder, spread, table
 from logquarry.sources.text_logs import scan_documentation
 from logquarry.staging import new_folder
 
@@ -110,7 +110,8 @@ FROM documents""")
 def doc_scan(spark, folder):
     """Texts written as one file each and scanned as documentation; hidden files beside them are left out."""
     target = new_folder(spark, "docs").removeprefix("file:")
-    table(spark, folder, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(target)
+    docs = table(spark, folder, "documents").select(file_folder("doc_id").alias("folder"), "doc_id", "text")
+    docs.write.partitionBy("folder", "doc_id").text(target)
     found = scan_documentation(spark, target, "r", "c", ["**/*.txt"])
     return found.select(
         F.regexp_extract("file_path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "repo_id",

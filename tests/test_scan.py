@@ -125,3 +125,22 @@ def test_documentation_files(spark, tmp_path):
     rows = scan_documentation(spark, str(tmp_path), "r", "c").collect()
     assert sorted((os.path.relpath(r.file_path, tmp_path), r.content) for r in rows) == [("a.md", "x\xe9"), ("docs/b.rst", "y")]
     assert scan_documentation(spark, str(tmp_path), "r", "c", ["docs/*.md", "*.md"]).count() == 1
+
+
+def test_files_of_one_text_each_lie_in_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    """doc_scan and batch_run: no folder that one listing reads holds a folder for every text."""
+    from logquarry.plans import document_queries, log_queries
+    from logquarry.sources import tables
+
+    monkeypatch.setattr(tables, "FILE_FOLDERS", 5)
+    rows = [(i, "s", "en", f"fine {i}\napache license") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    for module in (document_queries, log_queries):
+        monkeypatch.setattr(module, "new_folder", lambda _, name: made.append(tmp_path / name) or f"file:{tmp_path / name}")
+    assert sorted(r.doc_id for r in document_queries.doc_scan(spark, str(tmp_path)).collect()) == list(range(60))
+    assert {r.doc_id for r in log_queries.batch_run(spark, str(tmp_path)).collect()} <= set(range(60))
+    docs, batch = made
+    assert len([d for d in docs.iterdir() if d.is_dir()]) <= 5
+    for kind in (d for d in batch.iterdir() if d.is_dir()):
+        assert len([d for d in kind.iterdir() if d.is_dir()]) <= 5
