@@ -64,7 +64,7 @@ def following(
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         kept = Places(batch.sparkSession, places, prefix, forget)
-        numbered = kept.number(batch, batch_id, rule_sets, started, seeds)
+        numbered = kept.number(batch, batch_id, rule_sets, started, seeds, hits_only=True)
         action(findings_of(numbered, rule_sets, prefix, suffix, limit), batch_id)
         kept.keep(batch_id)
 
