@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from logquarry.functions.text import base_name, split_lines, suffix
 from logquarry.operators import chunk_index, documents, knowledge, payloads, retrieval
 from logquarry.plans.registry import LOGS, query
+from logquarry.sources import sinks
 from logquarry.sources.tables import document_logs, file_folder, spread, table
 from logquarry.sources.text_logs import scan_documentation
-from logquarry.staging import new_folder
+from logquarry.staging import new_folder, plain_folder
 
 # Every seventh line becomes a heading, of one to five marks.
 MARKDOWN = f"""{LOGS}, md AS (SELECT file_path, line_no, CASE WHEN line_no % 7 = 3
@@ -109,12 +110,12 @@ def retrieval_query_text(spark, folder):
 FROM documents""")
 def doc_scan(spark, folder):
     """Texts written as one file each and scanned as documentation; hidden files beside them are left out."""
-    target = new_folder(spark, "docs").removeprefix("file:")
-    docs = table(spark, folder, "documents").select(file_folder("doc_id").alias("folder"), "doc_id", "text")
-    docs.write.partitionBy("folder", "doc_id").text(target)
+    target = plain_folder(spark, new_folder(spark, "docs"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    sinks.write_files(docs.select(file_folder("doc_id").alias("folder"), "doc_id", F.col("text").alias("value")), target, ["folder"], "doc_id")
     found = scan_documentation(spark, target, "r", "c", ["**/*.txt"])
     return found.select(
-        F.regexp_extract("file_path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "repo_id",
+        F.regexp_extract("file_path", r"/doc_id=(\d+)[/.]", 1).cast("long").alias("doc_id"), "repo_id",
         F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 

@@ -144,3 +144,55 @@ def test_files_of_one_text_each_lie_in_a_bounded_number_of_folders(spark, tmp_pa
     assert len([d for d in docs.iterdir() if d.is_dir()]) <= 5
     for kind in (d for d in batch.iterdir() if d.is_dir()):
         assert len([d for d in kind.iterdir() if d.is_dir()]) <= 5
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+@pytest.mark.parametrize("local", [True, False])
+def test_files_of_one_text_each(spark, tmp_path, monkeypatch, scheme, local):
+    """doc_scan and batch_run write one file for each text, in local folders nothing beside it, and find all of them however the
+    folder is named."""
+    from logquarry.plans import document_queries, log_queries
+
+    texts = {i: f"fine {i}\napache license" for i in range(40)} | {40: "", 41: None, 42: "\xe9 \U0001f600\r\n\nlicense\t"}
+    spark.createDataFrame([(i, "s", "en", t) for i, t in texts.items()], "doc_id long, source string, lang string, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    for module in (document_queries, log_queries):
+        monkeypatch.setattr(module, "new_folder", lambda _, name: f"{scheme}{tmp_path / name}")
+    if not local:
+        monkeypatch.setattr(sinks, "local_path", lambda *_: None)
+    docs = document_queries.doc_scan(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.n_chars) for r in docs} == {(i, len(t or "") + 1) for i, t in texts.items()} and len(docs) == len(texts)
+    found = log_queries.batch_run(spark, str(tmp_path)).collect()
+    errors = sorted((r.doc_id, r.pipeline_name, r.line_start, r.excerpt) for r in found if r.severity == "ERROR")
+    assert errors == sorted((i, "web" if i % 3 else "mail", 3 if i == 42 else 2, "license\t" if i == 42 else "apache license")
+                            for i, t in texts.items() if t and "license" in t)
+    if local:
+        files = [f for f in (tmp_path / "docs").rglob("*") if f.is_file()]
+        assert len(files) == len(texts) and len({f.parent for f in files}) <= 256
+        assert {f.read_bytes() for f in files} == {((t or "") + "\n").encode() for t in texts.values()}
+
+
+def test_rows_of_one_file_are_lines_of_it(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", 1, "x"), ("a/b", 2, "y"), ("a b", 1, "z"), (None, 3, "w")], "kind string, log long, value string")
+    sinks.write_files(rows.coalesce(1), str(tmp_path / "t"), ["kind"], "log")
+    sinks.write_files(rows.limit(0), str(tmp_path / "none"), ["kind"], "log")
+    files = {f.relative_to(tmp_path / "t").as_posix(): f.read_text() for f in (tmp_path / "t").rglob("*") if f.is_file()}
+    assert files == {"kind=a b/log=1.00000.txt": "x\nz\n", "kind=a%2Fb/log=2.00000.txt": "y\n",
+                     "kind=__HIVE_DEFAULT_PARTITION__/log=3.00000.txt": "w\n"}
+    assert (tmp_path / "none").is_dir() and scan_text(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_tasks_take_several_splits(spark, tmp_path, monkeypatch):
+    """Many small files are read by few tasks; lines keep their numbers."""
+    from logquarry.sources import tables
+
+    for i in range(100):
+        (tmp_path / f"{i}.log").write_text("".join(f"{i} {j}\n" for j in range(i)))
+    assert scan_text(spark, [str(tmp_path)]).rdd.getNumPartitions() > 3
+    monkeypatch.setattr(tables, "SPLITS_A_CORE", 0)
+    monkeypatch.setattr(tables, "SPLITS_A_TASK", 3)
+    lines = scan_text(spark, [str(tmp_path)])
+    assert lines.rdd.getNumPartitions() <= 3
+    assert sorted((r.line, r.line_no) for r in lines.collect()) == sorted((f"{i} {j}", j + 1) for i in range(100) for j in range(i))
+    assert listed_files(spark, [str(tmp_path)]).rdd.getNumPartitions() <= 3
+    assert scan_documentation(spark, str(tmp_path), "r", "c", ["*.log"]).rdd.getNumPartitions() <= 3
