@@ -35,8 +35,10 @@ MAX_CHUNKS = 10
 QUERY_TILE = 1024
 CHUNK_TILE = 4096
 TILES, LARGEST_TILE = 8, 32_768
-# Scores that a unit holds at once.
-SCORES = 1 << 22
+# Scores that a unit holds at once, and candidates whose vectors it holds.
+SCORES, CANDIDATES = 1 << 22, 1 << 16
+# Columns of scores of which the greatest is taken together, at most, and groups of them that there are at least.
+COLUMNS, GROUPS = 32, 64
 SCORE_DIGITS = 6
 
 
@@ -120,24 +122,54 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, bucket: str | None =
     return units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_of(asked: np.ndarray, offered: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, columns, scores): for each row of `asked` the k rows of `offered` with the greatest rounded inner products,
-    the first ones of equal products; those that are no numbers come last."""
-    known = not (np.isnan(asked).any() or np.isnan(offered).any())
+def best_of(asked: np.ndarray, offered: np.ndarray, k: int, reached: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores): for each row of `asked`, whose length is one or zero, the k rows of `offered` with the greatest
+    rounded inner products, the first ones of equal products; those that are no numbers come last.
+
+    `reached` holds for each row the k greatest products known from elsewhere, as `candidates` finds them, and is brought up to
+    date; rows of `offered` that cannot be among the k best of both may be left out."""
+    known = not (np.isnan(asked).any() or np.isnan(offered).any()) and k < len(offered)
     parts, step = [], max(1, SCORES // len(offered))
+    if known:
+        quick = asked.astype(np.float32), offered.astype(np.float32)
     for at in range(0, len(asked), step):
-        scores = asked[at:at + step] @ offered.T
-        if known and k < len(offered):
-            # Rounding lifts a score over a greater one by less than one unit of the last digit.
-            least = np.partition(scores, -k, axis=1)[:, -k, None] - 10.0 ** -SCORE_DIGITS * 1.01
-            rows, columns = np.nonzero(scores >= least)
+        if known:
+            rows, columns = candidates(quick[0][at:at + step], quick[1], k, None if reached is None else reached[at:at + step])
+            ends = range(0, len(rows), CANDIDATES)
+            scores = [np.einsum("ij,ij->i", asked[at + rows[i:i + CANDIDATES]], offered[columns[i:i + CANDIDATES]]) for i in ends]
+            scores = np.concatenate([np.zeros(0), *scores])
         else:
+            scores = asked[at:at + step] @ offered.T
             rows, columns = (x.ravel() for x in np.indices(scores.shape))
-        parts.append(first_of(rows + at, columns, np.round(scores[rows, columns], SCORE_DIGITS) + 0.0, k))
+            scores = scores.ravel()
+        parts.append(first_of(rows + at, columns, np.round(scores, SCORE_DIGITS) + 0.0, k))
     rows, columns, found = (np.concatenate(x) for x in zip(*parts, strict=True))
     return rows, columns, found
 
 
+def candidates(asked: np.ndarray, offered: np.ndarray, k: int, reached: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of all products of 32-bit numbers that may be among the k greatest of their row, k < len(offered).
+
+    Columns are taken in groups. The k-th of the greatest products of groups is reached by k products at least; only groups
+    that come up to it are looked into. What is left out is less by more than 32-bit products and rounding can be wrong."""
+    n = len(offered)
+    deep = max(1, min(COLUMNS, n // max(GROUPS, 4 * k)))
+    groups = -(-n // deep)
+    scores = np.empty((len(asked), deep * groups), np.float32)
+    scores[:, n:] = -np.inf
+    np.matmul(asked, offered.T, out=scores[:, :n])
+    scores = scores.reshape(len(asked), deep, groups)
+    most = scores.max(axis=1)
+    least = np.partition(most, groups - k, axis=1)[:, groups - k:]
+    if reached is not None:
+        least = reached[:] = np.partition(np.concatenate([reached, least], axis=1), k, axis=1)[:, k:]
+    wrong = 2 * (offered.shape[1] + 4) * 2.0 ** -23 + 10.0 ** -SCORE_DIGITS * 1.01
+    least = (least.min(axis=1).astype(np.float64) - wrong).astype(np.float32)
+    rows, group = np.nonzero(most >= least[:, None])
+    at, depth = np.nonzero(scores[rows, :, group] >= least[rows, None])
+    return rows[at], depth * groups + group[at]
+
+
 def first_of(rows: np.ndarray, columns: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row, in order."""
     order = np.lexsort((columns, -found, rows))
@@ -155,10 +187,13 @@ def best_in_cells(
     by_query, by_chunk = np.argsort(wanted, kind="stable"), np.argsort(cell, kind="stable")
     owner, wanted, sorted_cell = owner[by_query], wanted[by_query], cell[by_chunk]
     parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.float64))]
+    reached = np.full((len(asked), k), -np.inf, np.float32)
     for one in np.intersect1d(wanted, sorted_cell):
         who = owner[slice(*np.searchsorted(wanted, [one, one + 1]))]
         what = by_chunk[slice(*np.searchsorted(sorted_cell, [one, one + 1]))]
-        rows, columns, found = best_of(asked[who], offered[what], k)
+        so_far = reached[who]
+        rows, columns, found = best_of(asked[who], offered[what], k, so_far)
+        reached[who] = so_far
         parts.append((who[rows], what[columns], found))
     return first_of(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
 

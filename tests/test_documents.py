@@ -269,3 +269,33 @@ def test_indexed_chunks(spark, monkeypatch):
     assert sorted(map(tuple, several.collect())) == sorted(map(tuple, plain.collect()))
     assert chunk_index.search(chunk_index.build(chunks.limit(0)), queries, 5).count() == 0
     assert chunk_index.search(index, queries.limit(0), 5).count() == 0
+
+
+def test_products_of_32_bits_leave_out_only_what_cannot_be_among_the_best():
+    """Hits are those of all products, also where many are equal, differ less than 32 bits can tell or round alike; few
+    vectors are multiplied in 64 bits."""
+    import numpy as np
+    import pandas as pd
+
+    from logquarry.operators import retrieval
+
+    def slow(asked, offered, k, allowed):
+        scores = np.round(np.einsum("id,jd->ij", asked, offered), 6) + 0.0
+        return [(i, j, scores[i, j]) for i in range(len(asked))
+                for j in sorted(np.flatnonzero(allowed[i]), key=lambda j: (-scores[i, j], j))[:k]]
+
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(700, 24))
+    near = base[:150] + draw.normal(size=(150, 24)) * 1e-7
+    offered = np.concatenate([base, near, base[:40], base[:40], np.zeros((30, 24)), np.repeat(base[5:6], 90, axis=0) + draw.normal(size=(90, 24)) * 3e-6])
+    offered = retrieval.unit(pd.Series(list(offered[draw.permutation(len(offered))])))
+    asked = np.concatenate([offered[::9], retrieval.unit(pd.Series(list(draw.normal(size=(40, 24)))))])
+    every = np.ones((len(asked), len(offered)), bool)
+    cell = draw.integers(0, 6, len(offered))
+    cells = pd.Series([np.sort(draw.permutation(6)[:draw.integers(1, 5)]).astype(np.int32) for _ in asked])
+    some = np.array([np.isin(cell, c) for c in cells])
+    for k in (1, 5, 20):
+        assert [*zip(*retrieval.best_of(asked, offered, k), strict=True)] == slow(asked, offered, k, every)
+        assert [*zip(*retrieval.best_in_cells(asked, cells, offered, cell, k), strict=True)] == slow(asked, offered, k, some)
+    rows, _ = retrieval.candidates(asked[-40:].astype(np.float32), offered.astype(np.float32), 5, None)
+    assert len(rows) < len(offered)
